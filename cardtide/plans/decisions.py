@@ -163,7 +163,7 @@ def snapshot_column() -> Column:
     return F.struct(*[F.col(name).cast("string") if name in CATEGORICAL_FEATURES else F.col(name) for name in FEATURES])
 
 
-def to_decision_table(scored: DataFrame, processed_at: Column) -> DataFrame:
+def to_decision_table(scored: DataFrame, processed_at: Column, keep: list[str] | None = None) -> DataFrame:
     """Stored form: decimals of fixed scale, drivers and feature snapshot as nested columns."""
     row = scored.withColumns(
         {
@@ -178,11 +178,18 @@ def to_decision_table(scored: DataFrame, processed_at: Column) -> DataFrame:
         else costs.to_numeric(F.col(name), p, s)
         for name, (p, s) in SCORED_DECIMALS.items()
     }
-    return row.select(*[stored[name].alias(name) if name in stored else F.col(name) for name in SCORED_COLUMNS])
+    return row.select(
+        *[stored[name].alias(name) if name in stored else F.col(name) for name in SCORED_COLUMNS], *(keep or [])
+    )
 
 
 def outbound_payload(scored: DataFrame) -> Column:
     """Message body: the event's fields, then the score's fields, as compact JSON."""
-    score_fields = [name for name in SCORED_COLUMNS if name in scored.columns and name not in EVENT_FIELDS]
     event_fields = [name for name in EVENT_FIELDS if name in scored.columns]
-    return F.to_json(F.struct(*event_fields, *[name for name in score_fields if name != "processed_at"]))
+    score_fields = [
+        name
+        for name in SCORED_COLUMNS
+        if name in scored.columns and name not in EVENT_FIELDS and name not in ("processed_at", "feature_snapshot")
+    ]
+    snapshot = snapshot_column().cast(SNAPSHOT_TYPE).alias("feature_snapshot")
+    return F.to_json(F.struct(*event_fields, *score_fields, snapshot), {"ignoreNullFields": "false"})
