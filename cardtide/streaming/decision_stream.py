@@ -91,13 +91,14 @@ def write_batch(
     sinks: DecisionSinks,
     scorer: Scorer = heuristic_scorer,
     alert_threshold: float = HIGH_RISK_THRESHOLD,
-    now: Column | None = None,
+    now: Column | str | None = None,
 ) -> None:
     """All outputs of one micro-batch, then its commit."""
     spark = messages.sparkSession
     # One timestamp for the whole batch, fixed before anything is written.
-    now = F.lit(spark.range(1).select(F.current_timestamp()).first()[0]) if now is None else now
-    now = now.cast("timestamp")
+    if now is None:
+        now = spark.range(1).select(F.current_timestamp()).first()[0]
+    now = F.lit(now).cast("timestamp")
     arrival = ["partition", "offset"]
     parsed = contract.parse_messages(messages).persist(StorageLevel.MEMORY_AND_DISK)
     accepted = contract.accepted_events(parsed, arrival)
@@ -136,7 +137,7 @@ def start(
     scorer: Scorer = heuristic_scorer,
     every: str | None = None,
     alert_threshold: float = HIGH_RISK_THRESHOLD,
-    now: Column | None = None,
+    now: Column | str | None = None,
 ) -> StreamingQuery:
     """Start the pipeline: every ``every`` (such as ``1 second``), or once over what is available."""
     writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
