@@ -279,6 +279,7 @@ def test_filters_reach_the_scan(spark, folder, tmp_path):
     path = str(tmp_path / "decisions")
     catalogue.decision_table(spark, folder).write.parquet(path)
     stored = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     text = plan(whatif.simulation_rows(stored, "2024-01-10", "2024-01-25", "home"))
     assert "EqualTo(merchant_category,home)" in text and "GreaterThanOrEqual(event_time" in text
     assert "explanation" not in text.split("ReadSchema")[1]
