@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cardtide.fixed_values import BANDS, CATEGORIES, CHANNELS, DEAD_LETTER_FIELDS, RAW_TOPIC
+from cardtide.functions.once import computed_once
 from cardtide.sources.schemas import EVENT_FIELDS, EVENT_SCHEMA, RAW_COLUMNS
 
 ISSUES_TYPE = "array<struct<type:string,location:array<string>>>"
@@ -113,14 +114,9 @@ _TRUE_TEXT = _listed(["true", "1", "yes", "on", "t", "y"])
 _FALSE_TEXT = _listed(["false", "0", "no", "off", "f", "n"])
 
 
-def computed_once(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add SQL columns behind an ``inline``, so that later filters do not repeat their expressions."""
-    packed = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
-    return frame.selectExpr("*", f"inline(array(named_struct({packed})))")
-
-
 def _read_field(name: str, data_type: T.DataType) -> tuple[str, str]:
-    """SQL for (typed value, type issue) of one field from its JSON type ``_s_`` and text ``_t_``.
+    """SQL for the typed value of a field from its JSON type ``_s_`` and text ``_t_``, and for the
+    type issue once that value is a column.
 
     Lenient like the contract: numeric text is a number, a whole number is an integer.
     """
@@ -143,14 +139,14 @@ def _read_field(name: str, data_type: T.DataType) -> tuple[str, str]:
         )
         return value, (
             f"CASE WHEN NOT ({numeric} OR {kind} = 'STRING') THEN 'datetime_type' "
-            f"WHEN ({value}) IS NULL THEN 'datetime_from_date_parsing' END"
+            f"WHEN {name} IS NULL THEN 'datetime_from_date_parsing' END"
         )
     if isinstance(data_type, T.DoubleType):
         value = (
             f"CASE WHEN {numeric} OR ({kind} = 'STRING' AND rlike({text}, {_NUMBER_TEXT})) THEN {number} "
             f"WHEN {kind} = 'BOOLEAN' THEN CAST(CAST({text} AS BOOLEAN) AS DOUBLE) END"
         )
-        return value, f"CASE WHEN {nested} THEN 'float_type' WHEN ({value}) IS NULL THEN 'float_parsing' END"
+        return value, f"CASE WHEN {nested} THEN 'float_type' WHEN {name} IS NULL THEN 'float_parsing' END"
     if isinstance(data_type, (T.IntegerType, T.LongType)):
         size = data_type.simpleString()
         value = (
@@ -162,7 +158,7 @@ def _read_field(name: str, data_type: T.DataType) -> tuple[str, str]:
         return value, (
             f"CASE WHEN {nested} THEN 'int_type' "
             f"WHEN {decimal} AND {number} <> floor({number}) THEN 'int_from_float' "
-            f"WHEN ({value}) IS NULL THEN 'int_parsing' END"
+            f"WHEN {name} IS NULL THEN 'int_parsing' END"
         )
     value = (
         f"CASE WHEN {kind} = 'BOOLEAN' THEN CAST({text} AS BOOLEAN) "
@@ -172,7 +168,7 @@ def _read_field(name: str, data_type: T.DataType) -> tuple[str, str]:
     )
     return value, (
         f"CASE WHEN {kind} = 'VOID' THEN NULL WHEN {nested} OR ({decimal} AND {number} NOT IN (0D, 1D)) THEN 'bool_type' "
-        f"WHEN {kind} IS NOT NULL AND ({value}) IS NULL THEN 'bool_parsing' END"
+        f"WHEN {kind} IS NOT NULL AND {name} IS NULL THEN 'bool_parsing' END"
     )
 
 
@@ -203,7 +199,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         values[field.name] = f"CAST({value} AS {field.dataType.simpleString()})"
         absent = "" if field.name in OPTIONAL_FIELDS else f"WHEN _s_{field.name} IS NULL THEN 'missing' "
         kinds[f"_w_{field.name}"] = f"CASE {absent}ELSE {wrong} END" if absent else wrong
-    read = computed_once(computed_once(document, fields), {**values, **kinds})
+    read = computed_once(computed_once(computed_once(document, fields), values), kinds)
     found = ", ".join(
         "CASE "
         + " ".join(
@@ -220,10 +216,16 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         f"transform(array_except(json_object_keys(_text), array({_listed(EVENT_FIELDS)})), "
         f"key -> named_struct('type', 'extra_forbidden', 'location', array('{MASKED_FIELD}')))"
     )
+    # Most messages are fine, which plain conditions find out far faster than building the list.
+    fine = [f"_w_{name} IS NULL" for name in EVENT_FIELDS]
+    fine += [f"NOT coalesce({condition}, false)" for name in EVENT_FIELDS for condition, _ in _rules(name)]
+    present = " + ".join(f"int(_s_{name} IS NOT NULL)" for name in EVENT_FIELDS)
+    fine.append(f"size(json_object_keys(_text)) = {present}")
     issues = (
-        f"CASE payload_state WHEN 'object' "
+        f"CASE WHEN payload_state = 'object' AND {' AND '.join(fine)} THEN CAST(array() AS {ISSUES_TYPE}) "
+        f"WHEN payload_state = 'object' "
         f"THEN concat(CAST(array_compact(array({found})) AS {ISSUES_TYPE}), CAST({extra} AS {ISSUES_TYPE})) "
-        f"WHEN 'scalar' THEN CAST(array(named_struct('type', 'model_type', 'location', array())) AS {ISSUES_TYPE}) "
+        f"WHEN payload_state = 'scalar' THEN CAST(array(named_struct('type', 'model_type', 'location', array())) AS {ISSUES_TYPE}) "
         f"ELSE CAST(array() AS {ISSUES_TYPE}) END"
     )
     checked = computed_once(read, {"issues": issues}).withColumn(

@@ -21,6 +21,7 @@ from cardtide.fixed_values import (
 )
 from cardtide.operators.ordered import first_rows, running_totals
 from cardtide.session import checkpointed
+from cardtide.sources.schemas import SNAPSHOT_TYPE
 
 
 def latest_snapshots(decisions: DataFrame, rows: int = DRIFT_ROWS) -> DataFrame:
@@ -37,6 +38,13 @@ def latest_snapshots(decisions: DataFrame, rows: int = DRIFT_ROWS) -> DataFrame:
     return newest.select("processed_at", "feature_snapshot.*")
 
 
+def snapshots_from_json(rows: DataFrame, column: str = "feature_snapshot") -> DataFrame:
+    """Snapshots kept as JSON text: absent features become NULL, empty snapshots are left out."""
+    return rows.filter(F.col(column).isNotNull() & (F.col(column) != "{}")).withColumn(
+        column, F.from_json(column, SNAPSHOT_TYPE)
+    )
+
+
 def snapshot_window(snapshots: DataFrame) -> DataFrame:
     return snapshots.agg(
         F.min("processed_at").alias("current_window_start"), F.max("processed_at").alias("current_window_end")

@@ -15,12 +15,11 @@ def with_windows(
     rows: DataFrame, train: float = 0.70, calibration: float = 0.15, identifier: str = "transaction_id"
 ) -> DataFrame:
     """Label rows by position in time: first 70 %, next 15 %, the rest. Row counts are truncated."""
-    total = rows.count()
-    train_end = int(total * train)
-    calibration_end = train_end + int(total * calibration)
-    before_train, before_calibration = time_order_cuts(
-        rows, "event_time", identifier, [train_end, calibration_end]
-    )
+
+    def ends(total: int) -> list[int]:
+        return [int(total * train), int(total * train) + int(total * calibration)]
+
+    before_train, before_calibration = time_order_cuts(rows, "event_time", identifier, ends)
     return rows.withColumn(
         "window",
         F.when(before_train, WINDOWS[0]).when(before_calibration, WINDOWS[1]).otherwise(WINDOWS[2]),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardtide.fixed_values import FEATURES
 from cardtide.functions import text
+from cardtide.functions.once import computed_once
 from cardtide.sources.schemas import CONTRIBUTIONS_TYPE
 
 
@@ -22,11 +23,6 @@ def contributions_by_value(contributions: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda pair: pair["item"])
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column behind an ``inline``, so that each later use reads it instead of repeating it."""
-    return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
-
-
 def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
     """Add ``drivers``: allow-listed features with display values, the strongest contribution each.
 
@@ -34,7 +30,7 @@ def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
     per-row array expression, so no row is shuffled or exploded.
     """
     shown = text.shown_values(F.col("feature_snapshot"))
-    rows = _once(rows, "_shown", F.struct(*[value.alias(name) for name, value in shown.items()]))
+    rows = computed_once(rows, {"_shown": F.struct(*[value.alias(name) for name, value in shown.items()])})
 
     def shown_value(feature: Column) -> Column:
         found = None
@@ -49,7 +45,7 @@ def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
             text.canonical_feature(item["feature"]).alias("feature"), item["contribution"].alias("contribution")
         ),
     )
-    rows = _once(rows, "_named", named)
+    rows = computed_once(rows, {"_named": named})
 
     def candidate(item: Column, position: Column) -> Column:
         amount = item["contribution"].cast("double")
@@ -66,7 +62,7 @@ def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
         finite = amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) != float("inf"))
         return item["feature"].isNotNull() & item["value"].isNotNull() & finite
 
-    rows = _once(rows, "_items", F.filter(F.transform("_named", candidate), usable))
+    rows = computed_once(rows, {"_items": F.filter(F.transform("_named", candidate), usable)})
     items = F.col("_items")
 
     def strongest(item: Column) -> Column:
@@ -86,7 +82,7 @@ def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
         )
 
     ranked = F.transform(F.array_sort(F.transform(F.filter(items, strongest), keyed)), lambda pair: pair["item"])
-    rows = _once(rows, "_ranked", ranked)
+    rows = computed_once(rows, {"_ranked": ranked})
     raising = F.filter("_ranked", lambda item: item["contribution"] > 0)
     chosen = F.slice(F.when(F.size(raising) > 0, raising).otherwise(F.col("_ranked")), 1, limit)
     drivers = F.transform(
@@ -99,7 +95,7 @@ def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
             item["strength"].alias("strength"),
         ),
     )
-    return _once(rows, "drivers", drivers).drop("_shown", "_named", "_items", "_ranked")
+    return computed_once(rows, {"drivers": drivers}).drop("_shown", "_named", "_items", "_ranked")
 
 
 def template_explanations(rows: DataFrame) -> DataFrame:

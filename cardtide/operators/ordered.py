@@ -6,6 +6,8 @@ pre-aggregated values, total each range, and add the totals of the earlier range
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardtide.session import checkpointed
@@ -71,30 +73,34 @@ def tie_hash(identifier: Column) -> Column:
 
 def _day_holding(days, position: int):
     before = 0
-    for day, rows in days:
-        if before + rows > position:
-            return day, before
-        before += rows
+    for row in days:
+        if before + row["n"] > position:
+            return row["day"], before
+        before += row["n"]
     return None, before
 
 
-def time_order_cuts(frame: DataFrame, time: str, identifier: str, positions: list[int]) -> list[Column]:
+def time_order_cuts(
+    frame: DataFrame, time: str, identifier: str, positions: Callable[[int], list[int]]
+) -> list[Column]:
     """For each 0-based position, a filter that holds exactly for the rows before it.
 
-    Order is (time, tie_hash(identifier)). Rows are counted per day, then per timestamp inside the
-    one day that holds the position, then per tie hash inside one timestamp; no row is sorted or
-    moved, and the result is a plain comparison that the scan can use.
+    ``positions`` turns the row count into positions. Order is (time, tie_hash(identifier)). Rows
+    are counted per day, then per timestamp inside the one day that holds the position, then per tie
+    hash inside one timestamp; no row is sorted or moved, and the result is a plain comparison that
+    the scan can use.
     """
     # Days in the data, not rows: thousands at most.
-    days = frame.groupBy(F.to_date(time).alias("day")).count().orderBy("day").collect()
+    days = frame.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n")).orderBy("day").collect()
     micros = F.unix_micros(time)
     cuts = []
-    for position in positions:
-        day, before = _day_holding([(row["day"], row["count"]) for row in days], position)
+    for position in positions(sum(row["n"] for row in days)):
+        day, before = _day_holding(days, position)
         if day is None:
             cuts.append(F.lit(True))
             continue
-        in_day = frame.filter(F.to_date(time) == F.lit(day))
+        start = F.lit(day).cast("timestamp")
+        in_day = frame.filter((F.col(time) >= start) & (F.col(time) < start + F.expr("INTERVAL 1 DAY")))
         stamps = in_day.groupBy(micros.alias("stamp")).agg(F.count("*").alias("n"))
         stamp = row_at(stamps, "stamp", "n", position - before)
         edge, before = F.timestamp_micros(F.lit(stamp["stamp"])), before + stamp["n_before"]

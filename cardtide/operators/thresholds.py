@@ -199,3 +199,12 @@ def threshold_breaks(thresholds: DataFrame) -> DataFrame:
     verify, decline = F.col("verify"), F.col("decline")
     good = (verify >= 0) & (verify < decline) & (decline <= 1)
     return thresholds.filter(~F.coalesce(good, F.lit(False)))
+
+
+def thresholds_from_map(rows: DataFrame, column: str = "category_thresholds") -> DataFrame:
+    """A map of category to {verify, decline} as one row per category, lowest decline first."""
+    return (
+        rows.select(F.explode(column).alias("merchant_category", "pair"))
+        .select("merchant_category", "pair.verify", "pair.decline")
+        .orderBy("decline", "merchant_category")
+    )

@@ -20,7 +20,7 @@ from cardtide.operators import (
 )
 from cardtide.operators.ordered import first_rows
 from cardtide.plans import decisions, training, whatif
-from cardtide.sources.tables import events_as_card_rows, read_table, typed_card_rows
+from cardtide.sources.tables import events_as_card_rows, read_table, spread
 
 SALT = "salt"
 # "Now" is a parameter everywhere; the provided events lie in January 2024.
@@ -49,7 +49,7 @@ def presented(frame: DataFrame, places: dict[str, int] | None = None) -> DataFra
 
 
 def card_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return events_as_card_rows(read_table(spark, folder, "events"))
+    return events_as_card_rows(spread(read_table(spark, folder, "events")))
 
 
 def all_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -354,8 +354,10 @@ def model_health(spark, folder):
 
 
 def upsert_latest(spark, folder):
-    latest = decision_log.latest_versions(delivery_log(spark, folder))
-    return presented(latest.select("transaction_id", "batch_id", "offset", "amount", "decision", "model_version"))
+    log = delivery_log(spark, folder).select(
+        "transaction_id", "batch_id", "partition", "offset", "amount", "decision", "model_version"
+    )
+    return presented(decision_log.latest_versions(log).drop("partition"))
 
 
 def upsert_explanations(spark, folder):
@@ -371,7 +373,8 @@ def upsert_explanations(spark, folder):
         F.lit(None).cast("string").alias("explanation_model"),
         F.timestamp_seconds(F.lit(1706745600 + 60)).alias("explanation_generated_at"),
     )
-    latest = decision_log.with_explanation_text(decision_log.latest_versions(log), log, texts)
+    slim = log.select("transaction_id", "model_version", "processed_at", "batch_id", "partition", "offset")
+    latest = decision_log.with_explanation_text(decision_log.latest_versions(slim), slim, texts)
     return presented(latest.select("transaction_id", "model_version", "explanation_text", "explanation_generated_at"))
 
 

@@ -12,6 +12,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def events_as_card_rows(events: DataFrame) -> DataFrame:
     """View the provided event table as raw card rows, one for one."""
     user, event = F.col("user_id"), F.col("event_id")

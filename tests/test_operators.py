@@ -97,6 +97,20 @@ def test_threshold_contract(spark):
     assert {row["c"] for row in thresholds.threshold_breaks(table).collect()} == {"b", "c"}
 
 
+def test_thresholds_from_map(spark):
+    rows = spark.sql(
+        "SELECT map('a', named_struct('verify', 0.1D, 'decline', 0.9D), 'b', named_struct('verify', 0.1D, 'decline', 0.3D)) "
+        "AS category_thresholds"
+    )
+    assert [row["merchant_category"] for row in thresholds.thresholds_from_map(rows).collect()] == ["b", "a"]
+
+
+def test_snapshots_from_json(spark):
+    rows = spark.createDataFrame([('{"amount": 5.0}',), ("{}",), (None,)], "feature_snapshot string")
+    found = drift.snapshots_from_json(rows).collect()
+    assert len(found) == 1 and found[0][0]["amount"] == 5.0 and found[0][0]["channel"] is None
+
+
 def test_running_totals(spark):
     values = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"), (F.col("id") * 2).alias("n"))
     rows = running_totals(values, "x", ["n"], by=["g"], previous="p").collect()
@@ -124,7 +138,7 @@ def test_windows_split_a_hot_timestamp_exactly(spark):
         F.format_string("t-%07d", "id").alias("transaction_id"),
         F.when(F.col("id") < 500, F.lit("2024-01-01 10:00:00")).otherwise("2024-01-02 10:00:00").cast("timestamp").alias("event_time"),
     )
-    cut = time_order_cuts(frame, "event_time", "transaction_id", [1234])[0]
+    cut = time_order_cuts(frame, "event_time", "transaction_id", lambda _: [1234])[0]
     assert frame.filter(cut).count() == 1234
 
 
