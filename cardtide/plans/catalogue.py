@@ -116,27 +116,24 @@ def pipeline_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def delivery_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Decision rows as delivered: everything once, errors again, then purchases under a new model."""
-    rows = decision_table(spark, folder).join(
-        read_table(spark, folder, "events").select(
-            F.concat(F.lit("txn-"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("transaction_id"),
-            "event_type",
-        ),
-        "transaction_id",
-    )
-    offset = F.substring("transaction_id", 5, 20).cast("bigint")
-    rows = rows.withColumns({"batch_id": F.lit(0).cast("bigint"), "partition": F.lit(0), "offset": offset})
-    again = rows.filter("event_type = 'error'").withColumns(
-        {"batch_id": F.lit(1).cast("bigint"), "amount": (F.col("amount") + 1).cast("decimal(14,2)")}
-    )
-    renewed = rows.filter("event_type IN ('error', 'purchase')").withColumns(
-        {
-            "batch_id": F.lit(2).cast("bigint"),
-            "model_version": F.when(F.col("event_type") == "purchase", "heuristic-v1").otherwise(F.col("model_version")),
-            "amount": (F.col("amount") + 2).cast("decimal(14,2)"),
-        }
+    """Decision rows as delivered: everything once, remote purchases again with a corrected amount,
+    then remote purchases and high-value customers a third time, the latter under a new model."""
+    remote, valued = F.col("channel") == "card_not_present", F.col("customer_ltv_band") == "high"
+    batches = F.array_compact(F.array(F.lit(0), F.when(remote, 1), F.when(remote | valued, 2)))
+    batches = batches.cast("array<bigint>")
+    renewed = (F.col("batch_id") == 2) & valued
+    return (
+        decision_table(spark, folder)
+        .withColumn("batch_id", F.explode(batches))
+        .withColumns(
+            {
+                "partition": F.lit(0),
+                "offset": F.substring("transaction_id", 5, 20).cast("bigint"),
+                "amount": (F.col("amount") + F.col("batch_id")).cast("decimal(14,2)"),
+                "model_version": F.when(renewed, "heuristic-v1").otherwise(F.col("model_version")),
+            }
+        )
     )
-    return rows.unionByName(again).unionByName(renewed)
 
 
 # ------------------------------------------------------------------- queries
@@ -382,7 +379,7 @@ def outbox_new(spark, folder):
     log = delivery_log(spark, folder)
     key = F.concat_ws(":", F.lit("scored"), "transaction_id", "model_version").alias("dedupe_key")
     arrival = ["batch_id", "partition", "offset"]
-    existing = log.filter("event_type = 'view'").select(key)
+    existing = log.filter("customer_ltv_band = 'low'").select(key)
     fresh = decision_log.new_messages(log.select(key, "transaction_id", "amount", *arrival), existing, arrival)
     return presented(fresh.select("dedupe_key", "transaction_id", "amount", "batch_id"))
 

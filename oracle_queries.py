@@ -213,14 +213,14 @@ metrics AS (
 DELIVERIES = """
 base_log AS (SELECT *, 0 AS batch_id FROM stored),
 deliveries AS (
-  SELECT transaction_id, event_id, event_type, decision, batch_id, amount, model_version FROM base_log
+  SELECT transaction_id, event_id, customer_ltv_band, decision, batch_id, amount, model_version FROM base_log
   UNION ALL
-  SELECT transaction_id, event_id, event_type, decision, 1, amount + 1, model_version FROM base_log
-  WHERE event_type = 'error'
+  SELECT transaction_id, event_id, customer_ltv_band, decision, 1, amount + 1, model_version FROM base_log
+  WHERE channel = 'card_not_present'
   UNION ALL
-  SELECT transaction_id, event_id, event_type, decision, 2, amount + 2,
-    CASE WHEN event_type = 'purchase' THEN 'heuristic-v1' ELSE model_version END
-  FROM base_log WHERE event_type IN ('error', 'purchase')
+  SELECT transaction_id, event_id, customer_ltv_band, decision, 2, amount + 2,
+    CASE WHEN customer_ltv_band = 'high' THEN 'heuristic-v1' ELSE model_version END
+  FROM base_log WHERE channel = 'card_not_present' OR customer_ltv_band = 'high'
 )"""
 
 
@@ -584,12 +584,12 @@ SELECT {_time('generated_at')} AS generated_at, {_r('drift_share', 'drift_share'
   {_r('amount', 'amount')}, decision, model_version FROM deliveries
 QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY batch_id DESC) = 1"""),
     "upsert_explanations": _with(*_SC, DELIVERIES, select="""SELECT transaction_id, model_version,
-  CASE WHEN event_type <> 'purchase' THEN 'text of ' || transaction_id END AS explanation_text,
-  CASE WHEN event_type <> 'purchase' THEN '2024-02-01 00:01:00.000000' END AS explanation_generated_at
+  CASE WHEN customer_ltv_band <> 'high' THEN 'text of ' || transaction_id END AS explanation_text,
+  CASE WHEN customer_ltv_band <> 'high' THEN '2024-02-01 00:01:00.000000' END AS explanation_generated_at
 FROM deliveries QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY batch_id DESC) = 1"""),
     "outbox_new": _with(*_SC, DELIVERIES, select=f"""
 SELECT 'scored:' || transaction_id || ':' || model_version AS dedupe_key, transaction_id, {_r('amount', 'amount')},
-  {_n('batch_id', 'batch_id')} FROM deliveries WHERE event_type <> 'view'
+  {_n('batch_id', 'batch_id')} FROM deliveries WHERE customer_ltv_band <> 'low'
 QUALIFY row_number() OVER (PARTITION BY transaction_id, model_version ORDER BY batch_id) = 1"""),
     "pending_outbox": _with(*_SC, select=f"""
 SELECT 'scored:' || transaction_id || ':' || model_version AS dedupe_key, {_time('event_time')} AS created_at,
