@@ -10,13 +10,14 @@ ORACLES = entry.oracle_sql()
 QUERIES = [name for name in entry.queries() if name not in ("gbt_metrics", "tree_contributions")]
 
 
-@pytest.fixture(scope="module")
-def duck(folder):
-    return connect(folder)
+# The SQL of the drift tests covers references of more than 1000 rows.
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_query(name, spark, folder, duck):
+def test_query(name, spark, folder):
+    folder = LARGER if name.startswith("drift") else folder
+    duck = connect(folder)
     frame = entry.queries()[name](spark, folder)
     if name in ORACLES:
         assert difference(frame, duck, ORACLES[name]) is None
