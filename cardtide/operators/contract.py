@@ -82,8 +82,13 @@ def with_issues(events: DataFrame) -> DataFrame:
 
 
 def _materialised(events: DataFrame) -> DataFrame:
-    """Keep the rules above the event's expressions; pushed below, they repeat a hash per rule."""
-    return events.select(F.inline(F.array(F.struct(*events.columns))))
+    """Keep the rules above the event's expressions; pushed below, they repeat a hash per rule.
+
+    Identifier and time stay outside the fence, so that filters on them still reach the scan.
+    """
+    outside = [name for name in ("transaction_id", "event_time") if name in events.columns]
+    inside = F.struct(*[name for name in events.columns if name not in outside])
+    return events.select(*outside, F.inline(F.array(inside))).select(*events.columns)
 
 
 def valid_events(events: DataFrame) -> DataFrame:

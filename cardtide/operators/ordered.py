@@ -59,10 +59,22 @@ def running_totals(
     )
 
 
-def row_at(values: DataFrame, order: str, count: str, position: int):
-    """The (value, rows before it) that holds the row with the given 0-based position."""
-    totals = running_totals(values, order, [count])
+# Up to this many rows, counted beforehand, one task may sort them.
+ONE_TASK_ROWS = 1_000_000
+
+
+def row_at(values: DataFrame, order: str, count: str, position: int, known_rows: int):
+    """The (value, rows before it) that holds the row with the given 0-based position.
+
+    ``known_rows`` is a measured upper bound of the rows of ``values``; it decides between one small
+    sort and the distributed running totals.
+    """
     before = F.col(f"{count}_before")
+    if known_rows <= ONE_TASK_ROWS:
+        earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        totals = values.withColumn(f"{count}_before", F.coalesce(F.sum(count).over(earlier), F.lit(0)))
+    else:
+        totals = running_totals(values, order, [count])
     return totals.filter((before <= position) & (before + F.col(count) > position)).first()
 
 
@@ -75,9 +87,9 @@ def _day_holding(days, position: int):
     before = 0
     for row in days:
         if before + row["n"] > position:
-            return row["day"], before
+            return row["day"], before, row["n"]
         before += row["n"]
-    return None, before
+    return None, before, 0
 
 
 def time_order_cuts(
@@ -95,19 +107,20 @@ def time_order_cuts(
     micros = F.unix_micros(time)
     cuts = []
     for position in positions(sum(row["n"] for row in days)):
-        day, before = _day_holding(days, position)
+        day, before, day_rows = _day_holding(days, position)
         if day is None:
             cuts.append(F.lit(True))
             continue
         start = F.lit(day).cast("timestamp")
         in_day = frame.filter((F.col(time) >= start) & (F.col(time) < start + F.expr("INTERVAL 1 DAY")))
         stamps = in_day.groupBy(micros.alias("stamp")).agg(F.count("*").alias("n"))
-        stamp = row_at(stamps, "stamp", "n", position - before)
+        stamp = row_at(stamps, "stamp", "n", position - before, day_rows)
         edge, before = F.timestamp_micros(F.lit(stamp["stamp"])), before + stamp["n_before"]
         cut = F.col(time) < edge
         if before < position:
             ties = in_day.filter(F.col(time) == edge).groupBy(tie_hash(F.col(identifier)).alias("tie"))
-            tie = row_at(ties.agg(F.count("*").alias("n")), "tie", "n", position - before)["tie"]
+            counts = ties.agg(F.count("*").alias("n"))
+            tie = row_at(counts, "tie", "n", position - before, stamp["n"])["tie"]
             cut = cut | ((F.col(time) == edge) & (tie_hash(F.col(identifier)) < F.lit(tie)))
         cuts.append(cut)
     return cuts

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardtide.fixed_values import DECLINE_GRID, REACQUISITION_BY_BAND, VERIFY_GRID
 from cardtide.functions.costs import whatif_verify
-from cardtide.operators import decision_log, drift, evaluation, operations, thresholds
+from cardtide.operators import decision_log, drift, evaluation, operations, ordered, thresholds
 from cardtide.operators.ordered import first_rows, running_totals, time_order_cuts
 from cardtide.plans import catalogue, whatif
 
@@ -133,7 +133,9 @@ def test_windows_by_position(spark):
         evaluation.require_both_classes(evaluation.window_metadata(evaluation.with_windows(one_class)))
 
 
-def test_windows_split_a_hot_timestamp_exactly(spark):
+@pytest.mark.parametrize("one_task_rows", [ordered.ONE_TASK_ROWS, 0])
+def test_windows_split_a_hot_timestamp_exactly(spark, monkeypatch, one_task_rows):
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", one_task_rows)
     frame = spark.range(3000).select(
         F.format_string("t-%07d", "id").alias("transaction_id"),
         F.when(F.col("id") < 500, F.lit("2024-01-01 10:00:00")).otherwise("2024-01-02 10:00:00").cast("timestamp").alias("event_time"),
@@ -282,13 +284,6 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
-def test_no_cartesian_product(name, spark, folder):
-    if name in ("gbt_metrics", "tree_contributions"):
-        pytest.skip("trains a model")
-    assert "CartesianProduct" not in plan(catalogue.QUERIES[name](spark, folder))
-
-
 def test_filters_reach_the_scan(spark, folder, tmp_path):
     path = str(tmp_path / "decisions")
     catalogue.decision_table(spark, folder).write.parquet(path)

@@ -19,6 +19,7 @@ def test_query(name, spark, folder):
     folder = LARGER if name.startswith("drift") else folder
     duck = connect(folder)
     frame = entry.queries()[name](spark, folder)
+    assert "CartesianProduct" not in frame._jdf.queryExecution().executedPlan().toString()
     if name in ORACLES:
         assert difference(frame, duck, ORACLES[name]) is None
     else:
