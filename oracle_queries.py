@@ -5,12 +5,10 @@ from __future__ import annotations
 from cardtide.fixed_values import (
     DECLINE_GRID,
     FEATURE_LABELS,
-    FEATURE_PHRASES,
     MARGIN_BY_CATEGORY,
     REACQUISITION_BY_BAND,
     SWEEP_DECLINES,
     VERIFY_GRID,
-    WEEKDAYS,
 )
 from cardtide.functions.costs import whatif_verify
 
@@ -384,7 +382,6 @@ drift AS (
 DRIFT_SELECT = f"""SELECT feature, test, {_r('score', 'score')}, {_r('threshold', 'threshold')}, drifted,
   {_n('reference_rows', 'reference_rows')}, {_n('current_rows', 'current_rows')} FROM drift"""
 
-_PYTHON_NUMBER = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || format('{{:,.{1}f}}', abs({0}))"
 SHOWN = {
     "amount": "'$' || format('{:,.2f}', full_amount)",
     "distance_km": "format('{:,.0f}', distance_km) || ' km'",
@@ -643,6 +640,17 @@ FROM stored WHERE CAST(event_time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2
 WHERE rank < 3"""),
     "template_explanations": _with(*_SC, DRIVERS, select="""SELECT transaction_id, decision, explanation_text,
   CASE WHEN len(string_split(explanation_text, ' ')) > 30 THEN 'explanation exceeds word limit' END AS sentence_problem FROM explained"""),
+    "explanation_inputs": _with(*_SC, DRIVERS, f"""
+listed AS (
+  SELECT transaction_id, string_agg('{{"feature":"' || feature || '","label":"' || {_case('feature', FEATURE_LABELS)}
+    || '","value":"' || value || '","effect":"' || CASE WHEN contribution > 0 THEN 'raised risk' ELSE 'lowered risk' END
+    || '","strength":' || CAST(strength AS VARCHAR) || '}}', ',' ORDER BY rank) AS items
+  FROM drivers WHERE rank < 3 GROUP BY 1
+)""", select="""
+SELECT transaction_id, '{"transaction":{"amount_usd":' || CAST(amount AS VARCHAR) || ',"merchant_category":"'
+  || replace(merchant_category, '_', ' ') || '","risk_percent":' || CAST(round_even(fraud_probability * 100, 1) AS VARCHAR)
+  || ',"decision":"' || decision || '"},"top_risk_drivers":[' || items || ']}' AS explanation_input
+FROM stored JOIN listed USING (transaction_id)"""),
     "retention_counts": _with(*_SC, METRICS, select="""
 SELECT 'scored_transactions' AS table_name, count(*) FILTER (WHERE event_time < TIMESTAMP '2024-04-15' - INTERVAL 730 DAY) AS expired_rows FROM scored
 UNION ALL SELECT 'rejected_transactions', count(*) FILTER (WHERE event_time < TIMESTAMP '2024-04-15' - INTERVAL 30 DAY)
