@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtide.llm import decontamination, jaccard
+from cardtide.llm import decontamination, jaccard, secrets, toxicity, url_filter
 from cardtide.llm.words import UPPER
 
 
@@ -20,7 +20,22 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
+    "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
