@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtide.llm import decontamination, jaccard, secrets, toxicity, url_filter
+from cardtide.llm import decontamination, jaccard, pieces, secrets, toxicity, url_filter
 from cardtide.llm.words import UPPER
 
 
@@ -32,11 +32,16 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_sentence_pieces": op9_sentence_pieces,
     "op10_decontamination": op10_decontamination,
 }
 
