@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtide.llm import decontamination, jaccard, pieces, secrets, toxicity, url_filter
+from cardtide.llm import decontamination, jaccard, language_model, pieces, secrets, toxicity, url_filter
 from cardtide.llm.words import UPPER
 
 
@@ -24,6 +24,10 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(table(spark, folder, "documents"))
 
 
+def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.perplexity_report(table(spark, folder, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))
 
@@ -38,6 +42,7 @@ def op9_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_model": op4_language_model,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
