@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtide.llm import decontamination, jaccard, language_model, pieces, secrets, toxicity, url_filter
+from cardtide.llm import decontamination, jaccard, language_model, neighbours, pieces, secrets, toxicity, url_filter
 from cardtide.llm.words import UPPER
 
 
@@ -20,6 +20,10 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(table(spark, folder, "documents"))
 
@@ -41,6 +45,7 @@ def op9_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_model": op4_language_model,
     "op5_url_filter": op5_url_filter,
