@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtide.llm import decontamination, jaccard, language_model, neighbours, pieces, secrets, toxicity, url_filter
+from cardtide.llm import decontamination, jaccard, language_model, licenses, neighbours, pieces, quotations, secrets, toxicity, url_filter
 from cardtide.llm.words import UPPER
 
 
@@ -16,10 +16,18 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.linked_messages(table(spark, folder, "conversations"))
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_report(table(spark, folder, "documents"))
+
+
 def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
@@ -45,11 +53,13 @@ def op9_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_model": op4_language_model,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
+    "op7_quotation_linking": op7_quotation_linking,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_decontamination": op10_decontamination,
@@ -59,7 +69,42 @@ _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+#: The notices' words again, apart from the operator.
+_NOTICES = """
+    ('apache-2.0', 'licensed under the apache license version 2 0'),
+    ('gpl-3.0', 'this work is licensed under the gnu general public license version 3'),
+    ('lgpl', 'this library is licensed under the gnu lesser general public license'),
+    ('cc-by-nc-4.0', 'licensed under cc by nc 4 0'),
+    ('cc-by-sa', 'licensed under a creative commons attribution sharealike license'),
+    ('mit', 'released under the mit license'),
+    ('mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software'),
+    ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted'),
+    ('mpl-2.0', 'this source code form is subject to the terms of the mozilla public license v 2 0'),
+    ('all-rights', 'copyright all rights reserved no part may be reproduced without written permission')"""
+
 ORACLES = {
+    "op1_license_scan": f"""
+WITH docs AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+base AS (
+    SELECT doc_id, len(w) AS n, p, label FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM docs),
+        (VALUES ('cc by', 2, 'cc-by'), ('general public license', 3, 'gpl'), ('all rights reserved', 3, 'reserved')) x(phrase, l, label)
+    WHERE array_to_string(w[p + 1:p + l], ' ') = phrase
+),
+based AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(DISTINCT label) AS names FROM base GROUP BY ALL),
+notices AS (SELECT label, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {_NOTICES}) x(label, words)),
+blocks AS (SELECT doc_id, w[32 * k + 1:32 * k + 64] AS b FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 31) // 32)) AS k FROM docs)),
+matched AS (
+    SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS share, len(list_intersect(t, b)) AS i, len(t) AS l FROM blocks, notices
+),
+found AS (
+    SELECT doc_id, list(DISTINCT label) AS names, max(share) AS share FROM matched
+    WHERE 5 * i >= 4 * l GROUP BY ALL
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(array_to_string(list_sort(based.names), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(based.names, found.names))), ','), '') AS labels,
+    CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score
+FROM docs LEFT JOIN based USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op8_jaccard_join": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 shingled AS (
