@@ -112,12 +112,45 @@ def _reduced(entries: np.ndarray) -> np.ndarray:
     return out
 
 
+def _smallest(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _to_bytes(level: int, entries: np.ndarray) -> bytes:
+    """Column by column; the sorted first context as runs, since a context has several words."""
+    first = np.flatnonzero(np.append(True, entries[1:, 0] != entries[:-1, 0]))
+    runs = np.diff(np.append(first, len(entries))).astype(np.uint32)
+    counts = [_smallest(entries[:, k]) for k in (-2, -1)]
+    hashes = [entries[:, k] for k in range(1, entries.shape[1] - 2)] if level > 1 else []
+    head = np.array([len(entries), len(first), *(c.itemsize for c in counts)], np.int64)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, entries[first, 0], runs, *hashes, *counts))
+
+
+def _from_bytes(level: int, packed: bytes) -> np.ndarray:
+    count, first, *sizes = np.frombuffer(packed, np.int64, 4).tolist()
+    entries, at = np.empty((count, max(level - 1, 1) + 3), _U), 32
+
+    def column(length: int, size: int) -> np.ndarray:
+        nonlocal at
+        at += length * size
+        return np.frombuffer(packed, f"<u{size}", length, at - length * size)
+
+    values = column(first, 8)
+    entries[:, 0] = np.repeat(values, column(first, 4))
+    for k in range(1, entries.shape[1] - 2):
+        entries[:, k] = column(count, 8) if level > 1 else entries[:, 0]
+    for k, size in zip((-2, -1), sizes, strict=True):
+        entries[:, k] = column(count, size)
+    return entries
+
+
 def _packed(level: int, entries: np.ndarray, shards: int) -> pa.RecordBatch:
     """One row per shard of sorted entries."""
     shard = _shard(entries[:, 0], shards)
     border = np.searchsorted(shard, np.arange(shards + 1))
     used = [k for k in range(shards) if border[k] < border[k + 1]]
-    columns = [[level] * len(used), used, [entries[border[k] : border[k + 1]].tobytes() for k in used]] + [[0] * len(used)] * 7
+    columns = [[level] * len(used), used, [_to_bytes(level, entries[border[k] : border[k + 1]]) for k in used]] + [[0] * len(used)] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _FIELDS)
 
 
@@ -147,25 +180,22 @@ def _counting(order: int, shards: int):
 
 
 def _merging(level: int, order: int, shards: int, folder: str):
-    width = max(level - 1, 1) + 3
-
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        blobs = [np.frombuffer(b.as_py(), _U).reshape(-1, width) for b in table.column("entries")]
-        entries = _reduced(np.concatenate(blobs))
+        entries = _reduced(np.concatenate([_from_bytes(level, b.as_py()) for b in table.column("entries")]))
         counts = entries[:, -1] if level == order else entries[:, -2]
         keys = entries[:, -3] if level == 1 else _key(entries[:, 0], entries[:, -3])
         by_key = np.argsort(keys)
         name = f"{folder}/{level}-{shard}"
         write_array(f"{name}-keys.npy", keys[by_key])
-        write_array(f"{name}-counts.npy", np.minimum(counts[by_key], 0xFFFFFFFF).astype(np.uint32))
+        write_array(f"{name}-counts.npy", _smallest(counts[by_key]))
         if level == 1:
-            write_array(f"{name}-raw.npy", entries[by_key, -1])
+            write_array(f"{name}-raw.npy", _smallest(entries[by_key, -1]))
         else:
             first = np.flatnonzero(np.diff(entries[:, 0], prepend=~entries[:1, 0]))
-            stats = [np.add.reduceat(x.astype(np.float64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            stats = [np.add.reduceat(x.astype(_U), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
             write_array(f"{name}-contexts.npy", entries[first, 0])
-            write_array(f"{name}-following.npy", np.stack(stats, axis=1))
+            write_array(f"{name}-following.npy", _smallest(np.stack(stats, axis=1)))
         sums = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int(counts.sum()), int(entries[:, -1].sum()), len(entries)]
         own = [[level], [shard], [b""]] + [[s] for s in sums]
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, _TYPES, strict=True)], _FIELDS)]
