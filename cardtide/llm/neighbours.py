@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE = 16384
+SAMPLE = 8192
 BRANCHES = 8
 #: Sampled vectors in a leaf at most.
-LEAF_SAMPLE = 32
+LEAF_SAMPLE = 64
 CALIBRATION = 96
 RECALL = 0.97
 #: Vectors and queries in one cell at most.
