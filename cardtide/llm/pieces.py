@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 #: Log weight of one byte piece.
 BYTE_WEIGHT = -14.0
-SLICE_CHARS = 3 << 20
+SLICE_CHARS = 1 << 20
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _U = np.uint64
