@@ -25,7 +25,7 @@ from cardtide.llm.words import SPACED, cut, mix
 
 ORDER = 2
 #: N-grams that a counting task holds before it packs them.
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 _U = np.uint64
 _START, _END, _NONE = _U(0x5354), _U(0x454E), _U(1)
 _STEP = _U(0xA24BAED4963EE407)
