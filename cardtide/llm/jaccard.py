@@ -339,7 +339,7 @@ def similar_documents(
 
 
 def without_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """Rows whose doc_id is the smallest of its component, or null."""
+    """Rows whose doc_id is the smallest of its component, or null. Rows that repeat a kept doc_id all stay."""
     found = similar_documents(documents, key, text, **settings)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     unnamed = documents.where(F.col(key).isNull())

@@ -26,7 +26,8 @@ UNLABELLED = 12000
 #: Features that a fit keeps: the most over-represented in positives, if at least CONTRAST deviations.
 FEATURES = 4096
 CONTRAST = 4.0
-BEGINNING = 5
+#: Letters of the word beginnings that are features beside whole words.
+BEGINNINGS = (4, 5)
 THRESHOLD = 0.7
 EPOCHS = 400
 _WORD = re.compile(r"[^\W\d_]+")
@@ -35,7 +36,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 def tokens(text: str) -> set[str]:
     """Distinct lower-cased words, and ``beginning*`` of the longer ones."""
     words = set(_WORD.findall(text.lower()))
-    return words | {f"{word[:BEGINNING]}*" for word in words if len(word) > BEGINNING}
+    return words | {f"{b}*" for b in beginnings(words)}
+
+
+def beginnings(words: set[str]) -> set[str]:
+    return {word[:size] for size in BEGINNINGS for word in words if len(word) > size}
 
 
 class ToxicityModel(NamedTuple):
@@ -48,8 +53,7 @@ class ToxicityModel(NamedTuple):
         words = set(_WORD.findall(text.lower()))
         weights, margins = self.weights, list(self.biases)
         found = [weights[w] for w in words if w in weights]
-        beginnings = {word[:BEGINNING] for word in words if len(word) > BEGINNING}
-        found += [weights[f"{b}*"] for b in beginnings if f"{b}*" in weights]
+        found += [weights[f"{b}*"] for b in beginnings(words) if f"{b}*" in weights]
         for weight in found:
             for k, value in enumerate(weight):
                 margins[k] += value
