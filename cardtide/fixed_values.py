@@ -103,7 +103,6 @@ REPLAY_FLOOR_SECONDS = 0.001
 REPLAY_REALTIME_CAP_SECONDS = 2.0
 
 # Drift monitoring.
-DRIFT_ROWS = 10_000
 DRIFT_MIN_ROWS = 500
 DRIFT_SHARE = 0.30
 DRIFT_HEALTH_MAX_AGE_SECONDS = 691_200

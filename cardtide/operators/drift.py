@@ -13,7 +13,6 @@ from cardtide.fixed_values import (
     DRIFT_HEALTH_MAX_AGE_SECONDS,
     DRIFT_MIN_ROWS,
     DRIFT_P_LIMIT,
-    DRIFT_ROWS,
     DRIFT_SHARE,
     DRIFT_SMALL_SAMPLE,
     FEATURES,
@@ -24,18 +23,14 @@ from cardtide.session import checkpointed
 from cardtide.sources.schemas import SNAPSHOT_TYPE
 
 
-def latest_snapshots(decisions: DataFrame, rows: int = DRIFT_ROWS) -> DataFrame:
-    """Newest non-empty feature snapshots."""
-    newest = first_rows(
-        decisions.filter(F.col("feature_snapshot").isNotNull()).select(
-            "transaction_id", "processed_at", "feature_snapshot"
-        ),
-        rows,
-        "processed_at",
-        "transaction_id",
-        newest=True,
+def latest_snapshots(decisions: DataFrame, rows: int | None = None) -> DataFrame:
+    """Non-empty feature snapshots; with ``rows``, the newest of them."""
+    found = decisions.filter(F.col("feature_snapshot").isNotNull()).select(
+        "transaction_id", "processed_at", "feature_snapshot"
     )
-    return newest.select("processed_at", "feature_snapshot.*")
+    if rows is not None:
+        found = first_rows(found, rows, "processed_at", "transaction_id", newest=True)
+    return found.select("processed_at", "feature_snapshot.*")
 
 
 def snapshots_from_json(rows: DataFrame, column: str = "feature_snapshot") -> DataFrame:
@@ -277,8 +272,12 @@ def has_enough_rows(current: DataFrame, needed: int = DRIFT_MIN_ROWS) -> bool:
 
 
 def model_health(reports: DataFrame, now: Column, max_age: int = DRIFT_HEALTH_MAX_AGE_SECONDS) -> DataFrame:
-    """Latest drift report with its age; a report that is too old counts as stale."""
-    latest = reports.orderBy(F.col("generated_at").desc()).limit(1)
+    """Latest drift report with its age; a report that is too old counts as stale.
+
+    Reports of one instant are told apart by their other columns, so that the choice is always the same.
+    """
+    others = [F.col(name).desc() for name in reports.columns if name != "generated_at"]
+    latest = reports.orderBy(F.col("generated_at").desc(), *others).limit(1)
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros("generated_at")) / F.lit(1e6)
     return latest.withColumn("age_seconds", F.greatest(age, F.lit(0.0))).withColumns(
         {

@@ -14,7 +14,11 @@ WINDOWS = ["train", "calibration", "threshold_validation"]
 def with_windows(
     rows: DataFrame, train: float = 0.70, calibration: float = 0.15, identifier: str = "transaction_id"
 ) -> DataFrame:
-    """Label rows by position in time: first 70 %, next 15 %, the rest. Row counts are truncated."""
+    """Label rows by position in time: first 70 %, next 15 %, the rest. Row counts are truncated.
+
+    Rows without a time are left out: they belong to no window.
+    """
+    rows = rows.filter(F.col("event_time").isNotNull())
 
     def ends(total: int) -> list[int]:
         return [int(total * train), int(total * train) + int(total * calibration)]
@@ -60,6 +64,16 @@ def ranked_scores(counts: DataFrame) -> DataFrame:
     return running_totals(counts, "score", ["positives", "negatives"], descending=True)
 
 
+def brier_and_log_loss(scored: DataFrame, label: str = "fraud_label", probability: str = "fraud_probability") -> DataFrame:
+    """Both averages in one aggregation; they need no order."""
+    known = F.col(label).isNotNull() & F.col(probability).isNotNull()
+    fraud, score = F.col(label).cast("int"), clamp(F.col(probability).cast("double"), 1e-7, 1 - 1e-7)
+    return scored.filter(known).agg(
+        F.avg((fraud - score) * (fraud - score)).alias("brier_score"),
+        F.avg(-(fraud * F.log(score) + (1 - fraud) * F.log(1 - score))).alias("log_loss"),
+    )
+
+
 def probability_metrics(scored: DataFrame, label: str = "fraud_label", probability: str = "fraud_probability") -> DataFrame:
     """ROC AUC, average precision, Brier score, log loss and best-F1 threshold as one row."""
     ranked = ranked_scores(score_counts(scored, label, probability))

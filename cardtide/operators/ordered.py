@@ -59,22 +59,10 @@ def running_totals(
     )
 
 
-# Up to this many rows, counted beforehand, one task may sort them.
-ONE_TASK_ROWS = 1_000_000
-
-
-def row_at(values: DataFrame, order: str, count: str, position: int, known_rows: int):
-    """The (value, rows before it) that holds the row with the given 0-based position.
-
-    ``known_rows`` is a measured upper bound of the rows of ``values``; it decides between one small
-    sort and the distributed running totals.
-    """
+def row_at(values: DataFrame, order: str, count: str, position: int):
+    """The (value, rows before it) that holds the row with the given 0-based position."""
     before = F.col(f"{count}_before")
-    if known_rows <= ONE_TASK_ROWS:
-        earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        totals = values.withColumn(f"{count}_before", F.coalesce(F.sum(count).over(earlier), F.lit(0)))
-    else:
-        totals = running_totals(values, order, [count])
+    totals = running_totals(values, order, [count])
     return totals.filter((before <= position) & (before + F.col(count) > position)).first()
 
 
@@ -87,9 +75,9 @@ def _day_holding(days, position: int):
     before = 0
     for row in days:
         if before + row["n"] > position:
-            return row["day"], before, row["n"]
+            return row["day"], before
         before += row["n"]
-    return None, before, 0
+    return None, before
 
 
 def time_order_cuts(
@@ -100,27 +88,28 @@ def time_order_cuts(
     ``positions`` turns the row count into positions. Order is (time, tie_hash(identifier)). Rows
     are counted per day, then per timestamp inside the one day that holds the position, then per tie
     hash inside one timestamp; no row is sorted or moved, and the result is a plain comparison that
-    the scan can use.
+    the scan can use. Rows without a time have no position: they are not counted and no filter holds for them.
     """
+    frame = frame.filter(F.col(time).isNotNull())
     # Days in the data, not rows: thousands at most.
     days = frame.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n")).orderBy("day").collect()
     micros = F.unix_micros(time)
     cuts = []
     for position in positions(sum(row["n"] for row in days)):
-        day, before, day_rows = _day_holding(days, position)
+        day, before = _day_holding(days, position)
         if day is None:
-            cuts.append(F.lit(True))
+            cuts.append(F.col(time).isNotNull())
             continue
         start = F.lit(day).cast("timestamp")
         in_day = frame.filter((F.col(time) >= start) & (F.col(time) < start + F.expr("INTERVAL 1 DAY")))
         stamps = in_day.groupBy(micros.alias("stamp")).agg(F.count("*").alias("n"))
-        stamp = row_at(stamps, "stamp", "n", position - before, day_rows)
+        stamp = row_at(stamps, "stamp", "n", position - before)
         edge, before = F.timestamp_micros(F.lit(stamp["stamp"])), before + stamp["n_before"]
         cut = F.col(time) < edge
         if before < position:
             ties = in_day.filter(F.col(time) == edge).groupBy(tie_hash(F.col(identifier)).alias("tie"))
             counts = ties.agg(F.count("*").alias("n"))
-            tie = row_at(counts, "tie", "n", position - before, stamp["n"])["tie"]
+            tie = row_at(counts, "tie", "n", position - before)["tie"]
             cut = cut | ((F.col(time) == edge) & (tie_hash(F.col(identifier)) < F.lit(tie)))
         cuts.append(cut)
     return cuts

@@ -18,9 +18,8 @@ from cardtide.operators import (
     quality,
     thresholds,
 )
-from cardtide.operators.ordered import first_rows
 from cardtide.plans import decisions, training, whatif
-from cardtide.sources.tables import events_as_card_rows, read_table, spread
+from cardtide.sources.tables import events_as_card_rows, read_table, training_rows
 
 SALT = "salt"
 # "Now" is a parameter everywhere; the provided events lie in January 2024.
@@ -49,7 +48,7 @@ def presented(frame: DataFrame, places: dict[str, int] | None = None) -> DataFra
 
 
 def card_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return events_as_card_rows(spread(read_table(spark, folder, "events")))
+    return events_as_card_rows(read_table(spark, folder, "events"))
 
 
 def all_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -289,7 +288,7 @@ def average_precision(spark, folder):
 
 
 def brier_logloss(spark, folder):
-    return presented(evaluation.probability_metrics(labelled(spark, folder)).select("brier_score", "log_loss"))
+    return presented(evaluation.brier_and_log_loss(labelled(spark, folder)))
 
 
 def best_f1(spark, folder):
@@ -324,7 +323,7 @@ def drift_shifted(spark, folder):
 
 
 def latest_snapshots(spark, folder):
-    rows = drift.latest_snapshots(decision_table(spark, folder), 2000)
+    rows = drift.latest_snapshots(decision_table(spark, folder))
     return presented(
         rows.agg(
             F.count("*").alias("row_count"),
@@ -444,7 +443,7 @@ def dq_columns(spark, folder):
 
 
 def recent_transactions(spark, folder):
-    rows = whatif.recent_transactions(decision_table(spark, folder), "shopping_net")
+    rows = whatif.recent_transactions(decision_table(spark, folder), "shopping_net", 200)
     return presented(
         rows.select("transaction_id", "event_time", "merchant", "amount", "fraud_probability", "decision", "model_version"),
         {"fraud_probability": 8},
@@ -509,8 +508,8 @@ def retention_counts(spark, folder):
 
 
 def training_cap(spark, folder):
-    """The earliest 5000 card rows, as the capped training scan reads them."""
-    rows = first_rows(card_rows(spark, folder), 5000, "trans_date_trans_time", "trans_num")
+    """All card rows, as the training scan reads them without a cap."""
+    rows = training_rows(card_rows(spark, folder))
     return presented(rows.select("trans_num", "trans_date_trans_time", "amt"))
 
 

@@ -151,8 +151,9 @@ def score_contract_breaks(scored: DataFrame) -> DataFrame:
 def enforce_score_contract(scored: DataFrame) -> DataFrame:
     """Fail the job, rather than write, when a score leaves its contract."""
     probability = F.col("fraud_probability")
-    good = probability.between(0, 1) & ~F.isnan(probability) & F.col("decision").isNotNull()
-    message = F.concat(F.lit("invalid score for "), F.col("transaction_id"))
+    named = F.col("decision").isin("approve", "verify", "decline")
+    good = probability.between(0, 1) & ~F.isnan(probability) & named & F.col("transaction_id").isNotNull()
+    message = F.concat(F.lit("invalid score for "), F.coalesce("transaction_id", F.lit("a row without id")))
     return scored.withColumn(
         "fraud_probability",
         F.when(F.coalesce(good, F.lit(False)), probability).otherwise(F.raise_error(message).cast("double")),

@@ -6,16 +6,18 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cardtide.fixed_values import DRIFT_MIN_ROWS, DRIFT_ROWS, DRIFT_SHARE, FEATURES
+from cardtide.fixed_values import DRIFT_MIN_ROWS, DRIFT_SHARE, FEATURES
 from cardtide.operators import drift
 from cardtide.operators.ordered import first_rows
 from cardtide.session import checkpointed
 from cardtide.sources.schemas import DRIFT_REPORT_SCHEMA
 
 
-def reference_features(training: DataFrame, rows: int = DRIFT_ROWS) -> DataFrame:
-    """The earliest training rows, features only."""
-    return first_rows(training, rows, "event_time", "transaction_id").select(*FEATURES)
+def reference_features(training: DataFrame, rows: int | None = None) -> DataFrame:
+    """Features of the training rows; with ``rows``, of the earliest of them."""
+    if rows is not None:
+        training = first_rows(training, rows, "event_time", "transaction_id")
+    return training.select(*FEATURES)
 
 
 def report_row(spark: SparkSession, now: Column, **values) -> DataFrame:
@@ -44,7 +46,7 @@ def run_report(
     now: Column,
     model_version: str = "unknown",
     simulate_shift: bool = False,
-    rows: int = DRIFT_ROWS,
+    rows: int | None = None,
     needed: int = DRIFT_MIN_ROWS,
     limit: float = DRIFT_SHARE,
     details_path: str | None = None,
@@ -57,7 +59,7 @@ def run_report(
         row.write.mode("append").parquet(reports)
 
     try:
-        # At most ``rows`` rows; written once, because several passes follow.
+        # Written once, because several passes follow.
         current = checkpointed(drift.latest_snapshots(decisions, rows))
         reference = checkpointed(reference_features(training, rows))
         window = drift.snapshot_window(current).first()

@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from cardtide.operators.ordered import first_rows
 
-SIMULATION_LIMIT = 50_000
-RECENT_LIMIT = 200
-
 
 def simulation_rows(
-    decisions: DataFrame, start: str, end: str, category: str, limit: int = SIMULATION_LIMIT
+    decisions: DataFrame, start: str, end: str, category: str, limit: int | None = None
 ) -> DataFrame:
-    """Newest labelled rows of one category inside a date range.
+    """Labelled rows of one category inside a date range; with ``limit``, the newest of them.
 
     The range is a half-open comparison on ``event_time``, so it reaches the scan.
     """
@@ -34,10 +31,12 @@ def simulation_rows(
         F.col("fraud_probability").cast("double").alias("fraud_probability"),
         F.col("realized_policy_cost").cast("double").alias("current_policy_cost"),
     )
-    return first_rows(rows, limit, "event_time", "transaction_id", newest=True).drop("event_time")
+    if limit is not None:
+        rows = first_rows(rows, limit, "event_time", "transaction_id", newest=True)
+    return rows.drop("event_time")
 
 
-def recent_transactions(decisions: DataFrame, category: str, limit: int = RECENT_LIMIT) -> DataFrame:
+def recent_transactions(decisions: DataFrame, category: str, limit: int) -> DataFrame:
     """Newest decisions of one category."""
     return first_rows(
         decisions.filter(F.col("merchant_category") == category), limit, "event_time", "transaction_id", newest=True

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cardtide.operators.ordered import first_rows
+from cardtide.fixed_values import CATEGORIES
+from cardtide.operators.ordered import time_order_cuts
 from cardtide.sources.schemas import RAW_COLUMNS, TRAINING_COLUMNS
 
 
@@ -12,24 +13,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores; larger inputs stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 def events_as_card_rows(events: DataFrame) -> DataFrame:
     """View the provided event table as raw card rows, one for one."""
     user, event = F.col("user_id"), F.col("event_id")
     categories = F.array(
-        *[
-            F.lit(name)
-            for name in (
-                "entertainment", "food_dining", "gas_transport", "grocery_net", "grocery_pos",
-                "health_fitness", "home", "kids_pets", "misc_net", "misc_pos", "personal_care",
-                "shopping_net", "shopping_pos", "travel",
-            )
-        ]
+        *[F.lit(name) for name in sorted(CATEGORIES)]
     )
     home_lat = 25 + (user % 200) / F.lit(10.0)
     home_long = -120 + (user % 400) / F.lit(10.0)
@@ -85,11 +73,16 @@ def typed_card_rows(rows: DataFrame, columns: list[str] = RAW_COLUMNS) -> DataFr
 
 
 def training_rows(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Columns that training needs; with a cap, the earliest rows."""
+    """Columns that training needs.
+
+    ``max_rows`` bounds the labelled rows given to a fit: the earliest ones, by an exact comparison that moves no row.
+    """
     pruned = rows.select(*TRAINING_COLUMNS)
     if max_rows is None:
         return pruned
-    return first_rows(pruned, max_rows, "trans_date_trans_time", "trans_num")
+    labelled = pruned.filter(F.col("is_fraud").isNotNull())
+    (earliest,) = time_order_cuts(labelled, "trans_date_trans_time", "trans_num", lambda _: [max_rows])
+    return labelled.filter(earliest)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

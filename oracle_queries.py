@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
-from cardtide.fixed_values import (
-    DECLINE_GRID,
-    FEATURE_LABELS,
-    MARGIN_BY_CATEGORY,
-    REACQUISITION_BY_BAND,
-    SWEEP_DECLINES,
-    VERIFY_GRID,
-)
-from cardtide.functions.costs import whatif_verify
+# Fixed values, written out apart from the package, so that a wrong one there shows.
+DECLINE_GRID = [
+    0.1, 0.125, 0.15000000000000002, 0.17500000000000002, 0.2, 0.225, 0.25, 0.275, 0.30000000000000004, 0.325,
+    0.35, 0.375, 0.4, 0.42500000000000004, 0.45000000000000007, 0.475, 0.5, 0.525, 0.55, 0.5750000000000001,
+    0.6, 0.625, 0.65, 0.675, 0.7000000000000001, 0.725, 0.75, 0.775, 0.8, 0.8250000000000001, 0.85, 0.875, 0.9,
+    0.95,
+]
+VERIFY_GRID = [
+    0.01, 0.025, 0.05, 0.07500000000000001, 0.1, 0.125, 0.15, 0.17500000000000002, 0.2, 0.225, 0.25, 0.275,
+    0.30000000000000004, 0.32500000000000007, 0.35000000000000003, 0.37500000000000006, 0.4,
+]
+SWEEP_DECLINES = [
+    0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95,
+]
+MARGIN_BY_CATEGORY = {
+    "entertainment": 0.35,
+    "food_dining": 0.3,
+    "gas_transport": 0.08,
+    "grocery_net": 0.12,
+    "grocery_pos": 0.1,
+    "health_fitness": 0.38,
+    "home": 0.28,
+    "kids_pets": 0.32,
+    "misc_net": 0.3,
+    "misc_pos": 0.25,
+    "personal_care": 0.35,
+    "shopping_net": 0.3,
+    "shopping_pos": 0.22,
+    "travel": 0.18,
+}
+REACQUISITION_BY_BAND = {
+    "low": 15.0,
+    "medium": 45.0,
+    "high": 120.0,
+}
+FEATURE_LABELS = {
+    "amount": "purchase amount",
+    "log_amount": "purchase amount",
+    "distance_km": "customer-to-merchant distance",
+    "transaction_hour": "transaction time",
+    "transaction_day_of_week": "day of week",
+    "customer_age": "customer age profile",
+    "city_population": "customer location size",
+    "is_night": "late-night timing",
+    "order_margin_pct": "merchant margin",
+    "merchant_category": "merchant category",
+    "channel": "purchase channel",
+    "customer_ltv_band": "customer value band",
+}
 
 
 def _case(column: str, table: dict, otherwise: str = "NULL") -> str:
@@ -22,6 +62,12 @@ def _literal(value) -> str:
     return f"'{value}'" if isinstance(value, str) else f"CAST({value!r} AS DOUBLE)"
 
 
+def _verify(decline: float) -> str:
+    """Verify threshold of a what-if decline threshold."""
+    half, below = f"{_literal(decline)} * {_literal(0.55)}", f"{_literal(decline)} - {_literal(0.01)}"
+    return f"greatest({_literal(0.01)}, least({half}, {below}))"
+
+
 def _time(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -275,7 +321,7 @@ chosen AS (
 
 
 def _sweep(source: str, declines: list[float]) -> str:
-    pairs = ", ".join(f"({_literal(d)}, {_literal(whatif_verify(d))})" for d in declines)
+    pairs = ", ".join(f"({_literal(d)}, {_verify(d)})" for d in declines)
     act = "CASE WHEN fraud_probability >= decline_threshold THEN 'decline' " \
         "WHEN fraud_probability >= verify_threshold THEN 'verify' ELSE 'approve' END"
     return f"""
@@ -528,7 +574,7 @@ FROM daily GROUP BY 1"""),
     "whatif_threshold": _with(*_ST, _sweep("labelled", [0.50]), select="SELECT * FROM swept"),
     "threshold_sweep": _with(*_ST, _sweep("labelled", SWEEP_DECLINES), select="SELECT * FROM swept"),
     "whatif_category": _with(*_ST, """
-simulated AS (SELECT * FROM labelled WHERE merchant_category = 'travel' ORDER BY event_time DESC, transaction_id LIMIT 50000)""",
+simulated AS (SELECT * FROM labelled WHERE merchant_category = 'travel')""",
         _sweep("simulated", [0.30]), select="SELECT * FROM swept"),
     "optimal_thresholds": _with(*_ST, WINDOWED, "picked AS (SELECT * FROM windowed WHERE \"window\" = 'threshold_validation')",
         _costs_cte("picked"), select=f"""SELECT merchant_category, {_r('verify', 'verify')}, {_r('decline', 'decline')},
@@ -568,7 +614,7 @@ ORDER BY 2 * (tp / (tp + fp)) * (tp / p) / greatest(tp / (tp + fp) + tp / p, 1e-
   CASE WHEN CAST(count(*) FILTER (WHERE drifted) AS DOUBLE) / count(*) >= 0.3 THEN 'drifting' ELSE 'ok' END AS health_status FROM drift"""),
     "latest_snapshots": _with(*_SC, select=f"""SELECT count(*) AS row_count, {_time('min(event_time)')} AS current_window_start,
   {_time('max(event_time)')} AS current_window_end, {_r('sum(full_amount)', 'amount')}
-FROM (SELECT * FROM stored ORDER BY event_time DESC, transaction_id LIMIT 2000)"""),
+FROM stored"""),
     "model_health": _with(*_ST, f"""
 reports AS (SELECT max(event_time) AS generated_at, avg(CASE WHEN decision <> 'approve' THEN 1.0 ELSE 0.0 END) AS drift_share
   FROM staged GROUP BY transaction_date),
@@ -630,7 +676,7 @@ WHERE merchant_category = 'shopping_net' ORDER BY stored.event_time DESC, transa
     "simulation_rows": _with(*_SC, select=f"""SELECT transaction_id, {_r('amount', 'amount')}, {_r('order_margin_pct', 'order_margin_pct')},
   customer_ltv_band, fraud_label, {_r('fraud_probability', 'fraud_probability', 8)}, {_r('realized_policy_cost', 'current_policy_cost')}
 FROM stored WHERE CAST(event_time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-25' AND merchant_category = 'grocery_pos'
-  AND fraud_label IS NOT NULL ORDER BY event_time DESC, transaction_id LIMIT 50000"""),
+  AND fraud_label IS NOT NULL"""),
     "high_risk_alerts": _with(*_SC, select=ALERT.format(limit=0.9)),
     "alerts_half": _with(*_SC, select=ALERT.format(limit=0.5)),
     "replay_schedule": _with(*_EV, select=_replay("demo")),
@@ -657,6 +703,5 @@ UNION ALL SELECT 'rejected_transactions', count(*) FILTER (WHERE event_time < TI
   FROM all_events WHERE event_id IN (SELECT event_id FROM issues)
 UNION ALL SELECT 'pipeline_metrics', count(*) FILTER (WHERE metric_time < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY) FROM metrics
 UNION ALL SELECT 'outbox', count(*) FILTER (WHERE decision = 'approve' AND event_time < TIMESTAMP '2024-04-15' - INTERVAL 7 DAY) FROM scored"""),
-    "training_cap": _with(RAW, select=f"""SELECT trans_num, {_time('at_time')} AS trans_date_trans_time, {_r('amt', 'amt')} FROM raw
-ORDER BY at_time, trans_num LIMIT 5000"""),
+    "training_cap": _with(RAW, select=f"""SELECT trans_num, {_time('at_time')} AS trans_date_trans_time, {_r('amt', 'amt')} FROM raw"""),
 }

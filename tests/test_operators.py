@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardtide.fixed_values import DECLINE_GRID, REACQUISITION_BY_BAND, VERIFY_GRID
 from cardtide.functions.costs import whatif_verify
-from cardtide.operators import decision_log, drift, evaluation, operations, ordered, thresholds
+from cardtide.operators import decision_log, drift, evaluation, operations, thresholds
 from cardtide.operators.ordered import first_rows, running_totals, time_order_cuts
 from cardtide.plans import catalogue, whatif
 
@@ -133,9 +133,19 @@ def test_windows_by_position(spark):
         evaluation.require_both_classes(evaluation.window_metadata(evaluation.with_windows(one_class)))
 
 
-@pytest.mark.parametrize("one_task_rows", [ordered.ONE_TASK_ROWS, 0])
-def test_windows_split_a_hot_timestamp_exactly(spark, monkeypatch, one_task_rows):
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", one_task_rows)
+def test_rows_without_time_belong_to_no_window(spark):
+    frame = spark.range(100).select(
+        F.format_string("t-%07d", "id").alias("transaction_id"),
+        F.when(F.col("id") >= 20, F.timestamp_seconds(F.lit(1700000000) + F.floor(F.col("id") / 30))).alias("event_time"),
+        (F.col("id") % 2).cast("int").alias("is_fraud"),
+    )
+    counts = {r["window"]: r["row_count"] for r in evaluation.window_metadata(evaluation.with_windows(frame)).collect()}
+    assert counts == {"train": 56, "calibration": 12, "threshold_validation": 12}
+    (all_known,) = time_order_cuts(frame, "event_time", "transaction_id", lambda _: [1000])
+    assert frame.filter(all_known).count() == 80
+
+
+def test_windows_split_a_hot_timestamp_exactly(spark):
     frame = spark.range(3000).select(
         F.format_string("t-%07d", "id").alias("transaction_id"),
         F.when(F.col("id") < 500, F.lit("2024-01-01 10:00:00")).otherwise("2024-01-02 10:00:00").cast("timestamp").alias("event_time"),
