@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cardtide.fixed_values import FEATURES
 from cardtide.operators import (
@@ -18,7 +19,7 @@ from cardtide.operators import (
     quality,
     thresholds,
 )
-from cardtide.plans import decisions, training, whatif
+from cardtide.plans import contributions, decisions, training, whatif
 from cardtide.sources.tables import events_as_card_rows, read_table, training_rows
 
 SALT = "salt"
@@ -519,17 +520,21 @@ def isotonic_calibration(spark, folder):
     return presented(training.calibration_table(rows, "fraud_probability", "is_fraud"))
 
 
+@cache
+def _trained(application: str, folder: str) -> training.TrainingResult:
+    """One training per application and folder; the queries about the model share it."""
+    spark = SparkSession.active()
+    return training.train(training.labelled_training_rows(card_rows(spark, folder), SALT))
+
+
 def gbt_metrics(spark, folder):
-    result = training.train(training.labelled_training_rows(card_rows(spark, folder), SALT), rounds=10)
-    return presented(result.metrics)
+    return presented(_trained(spark.sparkContext.applicationId, folder).metrics)
 
 
 def tree_contributions(spark, folder):
-    from cardtide.plans.contributions import with_contributions
-
     rows = training.labelled_training_rows(card_rows(spark, folder), SALT)
-    result = training.train(rows, rounds=5, evaluate=False)
-    explained = with_contributions(result.bundle.raw_scores(rows), result.bundle)
+    bundle = _trained(spark.sparkContext.applicationId, folder).bundle
+    explained = contributions.with_contributions(bundle.raw_scores(rows), bundle)
     return presented(
         explained.select("transaction_id", F.posexplode("explanation").alias("rank", "driver")).select(
             "transaction_id", "rank", "driver.feature", "driver.contribution"
@@ -537,6 +542,28 @@ def tree_contributions(spark, folder):
     )
 
 
+def model_checks(spark, folder):
+    """Per window, how many rows break what must hold for every score and its contributions."""
+    rows = evaluation.with_windows(training.labelled_training_rows(card_rows(spark, folder), SALT))
+    bundle = _trained(spark.sparkContext.applicationId, folder).bundle
+    explained = bundle.calibrated(contributions.with_contributions(bundle.raw_scores(rows), bundle, total="_total"))
+    probability, raw = F.col("fraud_probability"), F.col("raw_probability")
+    margin = F.log(raw / (1 - raw))
+
+    def count(condition: Column) -> Column:
+        return F.sum(F.when(condition, 0).otherwise(1)).cast("bigint")
+
+    return presented(
+        explained.groupBy("window").agg(
+            F.count("*").alias("row_count"),
+            F.sum("is_fraud").cast("bigint").alias("fraud_rows"),
+            count(probability.between(0, 1) & raw.between(0, 1)).alias("not_probabilities"),
+            count(F.size("explanation").between(1, 6)).alias("not_explained"),
+            count(F.abs(F.col("_total") - margin) < 1e-6).alias("not_adding_up"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -551,6 +578,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dq_reconcile_labelled, dq_unique, dq_columns, recent_transactions, simulation_rows,
         whatif_category, high_risk_alerts, alerts_half, replay_schedule, replay_realtime, risk_drivers,
         template_explanations, explanation_inputs, retention_counts, training_cap,
-        isotonic_calibration, gbt_metrics, tree_contributions,
+        isotonic_calibration, gbt_metrics, tree_contributions, model_checks,
     )
 }

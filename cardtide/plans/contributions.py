@@ -3,12 +3,13 @@
 Path-dependent Shapley values (Lundberg et al., arXiv:1802.03888). Within one leaf a value depends
 only on which of the features on its path a row satisfies. With at most six distinct features on a
 path there are at most 64 such patterns, so each leaf gets a table of them in advance and scoring a
-batch is a comparison and a table lookup, for all rows of the batch at once.
+batch is a comparison and a table lookup, for all rows of the batch at once. Longer paths are worked
+out for the batch itself.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from cardtide.operators.explanations import top_contributions
 from cardtide.session import ensure_checkpoint_dir
 
-MAX_TABLE_BYTES = 512 * 1024 * 1024
+#: Leaves with more features on their path are evaluated row by row of the batch, without a table.
+TABLE_FEATURES = 6
 
 
 def tree_nodes(model, spark) -> DataFrame:
@@ -35,43 +37,70 @@ def tree_nodes(model, spark) -> DataFrame:
     )
 
 
-def _leaf_table(value: float, shares: list[float]) -> np.ndarray:
-    """Contribution of each path feature for every pattern of satisfied features."""
-    size = len(shares)
-    table = np.zeros((1 << size, size))
-    for pattern in range(1 << size):
-        met = [(pattern >> j) & 1 for j in range(size)]
-        for i in range(size):
-            others = [j for j in range(size) if j != i]
-            total = 0.0
-            for count in range(size):
-                share = factorial(count) * factorial(size - count - 1) / factorial(size)
-                for chosen in combinations(others, count):
-                    total += share * np.prod([met[j] if j in chosen else shares[j] for j in others])
-            table[pattern, i] = value * (met[i] - shares[i]) * total
-    return table
+def path_values(met: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf of value 1: last axis is the path's features, ``met`` is 1 where satisfied.
 
+    The sum over coalitions of one size is a coefficient of the product of (share + met * x) over
+    the other features, so all rows, patterns or leaves of a batch are multiplied out at once.
+    """
+    size = met.shape[-1]
+    weights = [factorial(count) * factorial(size - count - 1) / factorial(size) for count in range(size)]
+    result = np.empty(np.broadcast_shapes(met.shape, shares.shape))
+    for i in range(size):
+        sums = [1.0]
+        for j in range(size):
+            if j != i:
+                stay, grow = shares[..., j], met[..., j]
+                sums = [low * stay + high * grow for low, high in zip([*sums, 0.0], [0.0, *sums])]
+        total = sum(weight * coefficient for weight, coefficient in zip(weights, sums))
+        result[..., i] = (met[..., i] - shares[..., i]) * total
+    return result
 
-def leaf_tables(model, spark) -> list[tuple]:
-    """Per leaf: path features, their allowed intervals, and the contribution table.
 
-    Bounded by rounds x 2^depth leaves, independent of the data.
-    """
+def _patterns(size: int) -> np.ndarray:
+    return (np.arange(1 << size)[:, None] >> np.arange(size)) & 1
+
+
+@dataclass
+class Leaf:
+    """Path features, their allowed intervals and shares, the leaf's value, and its table if it has one."""
+
+    features: list[int]
+    low: np.ndarray
+    high: np.ndarray
+    shares: np.ndarray
+    value: float
+    table: np.ndarray | None = None
+
+
+@dataclass
+class LeafTables:
+    """All leaves of a model and its expected margin. Bounded by rounds x 2^depth, independent of the data."""
+
+    leaves: list[Leaf]
+    expected: float
+
+
+def leaf_tables(model, spark) -> LeafTables:
+    """Read the trees once, and fill the tables of all leaves with equally long paths together."""
     trees: dict[int, dict] = {}
+    # Nodes of a model, not rows of a table.
     for row in tree_nodes(model, spark).collect():
         trees.setdefault(row["treeID"], {})[row["id"]] = row
-    leaves, size = [], 0
+    leaves, expected = [], 0.0
     for nodes in trees.values():
+        root = nodes[0]["impurityStats"][0]
         stack = [(0, {})]
         while stack:
             identifier, path = stack.pop()
             node = nodes[identifier]
             if node["leftChild"] < 0:
-                names = sorted(path)
                 # Raw margins are half log-odds.
-                table = _leaf_table(2 * node["weight"] * node["prediction"], [path[n][2] for n in names])
-                size += table.nbytes
-                leaves.append((names, [path[n][0] for n in names], [path[n][1] for n in names], table))
+                value = 2 * node["weight"] * node["prediction"]
+                expected += value * node["impurityStats"][0] / root
+                names = sorted(path)
+                bounds = np.array([path[name] for name in names]).reshape(-1, 3)
+                leaves.append(Leaf(names, bounds[:, 0], bounds[:, 1], bounds[:, 2], value))
                 continue
             split = node["split"]
             feature, values = split["featureIndex"], split["leftCategoriesOrThreshold"]
@@ -83,62 +112,67 @@ def leaf_tables(model, spark) -> list[tuple]:
                 edge, left_is_low = 0.5, 0.0 in values
             cover = node["impurityStats"][0]
             for child, is_left in ((node["leftChild"], True), (node["rightChild"], False)):
-                bounds = (low, min(high, edge)) if is_left == left_is_low else (max(low, edge), high)
+                interval = (low, min(high, edge)) if is_left == left_is_low else (max(low, edge), high)
                 portion = nodes[child]["impurityStats"][0] / cover
-                stack.append((child, {**path, feature: (*bounds, share * portion)}))
-    if size > MAX_TABLE_BYTES:
-        raise ValueError(f"contribution tables need {size} bytes; train fewer or shallower trees")
-    return leaves
-
-
-def expected_margin(model, spark) -> float:
-    """Average log-odds under the trees' own row counts: the part no feature explains."""
-    trees: dict[int, dict] = {}
-    for row in tree_nodes(model, spark).collect():
-        trees.setdefault(row["treeID"], {})[row["id"]] = row
-    total = 0.0
-    for nodes in trees.values():
-        root = nodes[0]["impurityStats"][0]
-        leaves = (node for node in nodes.values() if node["leftChild"] < 0)
-        total += sum(2 * n["weight"] * n["prediction"] * n["impurityStats"][0] / root for n in leaves)
-    return total
-
-
-def contribution_values(matrix: np.ndarray, leaves: list[tuple]) -> np.ndarray:
+                stack.append((child, {**path, feature: (*interval, share * portion)}))
+    by_size: dict[int, list[Leaf]] = {}
+    for leaf in leaves:
+        by_size.setdefault(len(leaf.features), []).append(leaf)
+    for size, group in by_size.items():
+        if 0 < size <= TABLE_FEATURES:
+            shares = np.array([leaf.shares for leaf in group])[:, None, :]
+            tables = path_values(_patterns(size)[None, :, :], shares)
+            for leaf, table in zip(group, tables):
+                leaf.table = leaf.value * table
+    return LeafTables(leaves, expected)
+
+
+def contribution_values(matrix: np.ndarray, tables: LeafTables) -> np.ndarray:
     """Rows x features; every feature column is compared as a whole batch."""
     result = np.zeros_like(matrix)
-    for names, low, high, table in leaves:
-        if not names:
+    for leaf in tables.leaves:
+        if not leaf.features:
             continue
-        columns = matrix[:, names]
-        met = (columns > np.array(low)) & (columns <= np.array(high))
-        result[:, names] += table[met @ (1 << np.arange(len(names)))]
+        columns = matrix[:, leaf.features]
+        met = (columns > leaf.low) & (columns <= leaf.high)
+        if leaf.table is None:
+            result[:, leaf.features] += leaf.value * path_values(met.astype(float), leaf.shares)
+        else:
+            result[:, leaf.features] += leaf.table[met @ (1 << np.arange(len(leaf.features)))]
     return result
 
 
-def with_contributions(raw: DataFrame, bundle, limit: int = 6) -> DataFrame:
+def shared_tables(bundle, spark):
+    """The broadcast tables of a bundle: built at first use, then the same for every batch."""
+    application = spark.sparkContext.applicationId
+    if bundle.tables is None or bundle.tables[0] != application:
+        bundle.tables = (application, spark.sparkContext.broadcast(leaf_tables(bundle.pipeline.stages[-1], spark)))
+    return bundle.tables[1]
+
+
+def with_contributions(raw: DataFrame, bundle, limit: int = 6, total: str | None = None) -> DataFrame:
     """Add ``explanation``: the strongest contributions of each row.
 
     Only the feature array crosses to Python, in Arrow batches. A batch that cannot be explained
-    gets an empty list and does not stop scoring.
+    gets an empty list and does not stop scoring; ``explanation_failures`` counts its rows. With
+    ``total``, also add a column of that name: all contributions of the row plus the expected margin.
     """
-    spark = raw.sparkSession
-    leaves = spark.sparkContext.broadcast(leaf_tables(bundle.pipeline.stages[-1], spark))
+    tables = shared_tables(bundle, raw.sparkSession)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("struct<amounts:array<double>,total:double>")
     def contributions(features):  # type: ignore[no-untyped-def]
         import pandas as pd
 
         try:
-            values = contribution_values(np.stack(features.to_numpy()).astype(float), leaves.value)
-            return pd.Series(list(values), index=features.index)
+            values = contribution_values(np.stack(features.to_numpy()).astype(float), tables.value)
+            return pd.DataFrame({"amounts": list(values), "total": values.sum(axis=1) + tables.value.expected})
         except Exception:  # noqa: BLE001 - an explanation never blocks a score
-            return pd.Series([None] * len(features), index=features.index)
+            return pd.DataFrame({"amounts": [None] * len(features), "total": [None] * len(features)})
 
     names = F.array(*[F.lit(name) for name in bundle.feature_names])
     zipped = F.zip_with(
         F.col("_vector"),
-        F.col("_contributions"),
+        F.col("_contributions.amounts"),
         lambda value, amount: F.struct(value.alias("value"), amount.alias("contribution")),
     )
     named = F.transform(
@@ -150,10 +184,11 @@ def with_contributions(raw: DataFrame, bundle, limit: int = 6) -> DataFrame:
         ),
     )
     empty = F.array().cast("array<struct<feature:string,value:string,contribution:double>>")
+    extra = {total: F.col("_contributions.total")} if total else {}
     return (
         raw.withColumn("_vector", vector_to_array("features"))
         .withColumn("_contributions", contributions("_vector"))
-        .withColumn("explanation", F.coalesce(top_contributions(named, limit), empty))
+        .withColumns({"explanation": F.coalesce(top_contributions(named, limit), empty), **extra})
         .drop("_vector", "_contributions")
     )
 

