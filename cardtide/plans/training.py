@@ -256,7 +256,10 @@ def train(
     def window(name: str) -> DataFrame:
         return windowed.filter(F.col("window") == name)
 
-    pipeline = fit_booster(window("train"), rounds, depth)
+    # Every round passes over these rows several times, so they are dealt evenly once, whatever the input's splits are.
+    # Their order is fixed, so that a repeated task draws the same row samples.
+    dealt = window("train").repartition(F.monotonically_increasing_id()).sortWithinPartitions("event_time", "transaction_id")
+    pipeline = fit_booster(checkpointed(dealt), rounds, depth)
     bundle = ModelBundle(pipeline, None, [], {}, model_version or "", feature_names(pipeline))
     held_out = windowed.filter(F.col("window") != "train")
     if test_rows is not None:
