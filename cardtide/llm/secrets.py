@@ -16,17 +16,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cardtide.llm.shared import materialised
 from cardtide.llm.words import fresh
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 #: Kinds in the order in which spans of one start are listed. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "private_key", "web_token", "url_login")
 BASE_KINDS = KINDS[:3]
+#: From BEGIN to the first END of a private key before another BEGIN. Without one, to the end of the lines that are
+#: base64 or PEM headers, or of long base64 words. Line ends may be escaped.
+_PEM = r"""(?x)-----BEGIN\x20[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-----
+    (?: (?:(?!-----BEGIN\x20)[\s\S])*?-----END\x20[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-----
+    | (?: (?:\s|\\[nrt])*(?:[\r\n]|\\[nr])[\x20\t]*
+            (?: [A-Za-z0-9+/=]+(?=[\x20\t]*(?:[\r\n"',;)]|\\[nr]|\Z)) | (?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):\x20[^\r\n\\]* )
+        | (?:\s|\\[nrt])*[A-Za-z0-9+/=]{32,} )* )"""
 _RULES = (
     ("assign", ("passw", "secret", "token", "api"), r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", None, r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", None, r"[0-9a-f]{24,}", 0, 24),
-    ("private_key", ("-----begin",), r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("private_key", ("-----begin",), _PEM, 0, 1),
     ("web_token", ("eyj",), r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("url_login", ("://",), r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,64}:[^\s/@]{3,128}@", 0, 1),
+    ("url_login", ("://",), r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]*:[^\s/@]+@", 0, 1),
 )
 SPANS = "array<struct<start:int,kind:string,end:int>>"
 LEDGER = f"blob string, rule_version string, spans {SPANS}"
