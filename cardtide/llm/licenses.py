@@ -1,7 +1,7 @@
 """Operator 1, license scans: an exact set-similarity join of text blocks with notice templates.
 
 A block is ``BLOCK`` consecutive words, and a new one starts every ``STRIDE`` words, so any notice of up to
-BLOCK - STRIDE + 1 words lies in one block. A block matches a template of T distinct words if it contains at least
+BLOCK - STRIDE + 1 words lies in one block; a longer template makes the blocks longer. A block matches a template of T distinct words if it contains at least
 ceil(THRESHOLD * T) = o of them. Tokens are ordered by how many documents hold them, rare ones first. A match must
 share a token between the first T - o + 1 of the template and the first B - o + 1 of the block's tokens (prefix), needs
 B >= o (length), and enough tokens after the shared places (position). Survivors are verified by intersection.
@@ -68,6 +68,8 @@ def block_matches(rows: DataFrame, order: list[str], keys: list[str], templates=
     """``keys``, label and containment of every (block, template) pair that meets the threshold."""
     spark = rows.sparkSession
     rank = {token: k for k, token in enumerate(order)}
+    block_words = max(BLOCK, max(len(text.split(" ")) for _, text in templates) + STRIDE - 1)
+    reach = -(-block_words // STRIDE)  # blocks that a word may lie in
     index, prefixes = [], set()
     for number, (label, text) in enumerate(templates):
         tokens = sorted(set(text.split(" ")), key=rank.__getitem__)
@@ -80,10 +82,11 @@ def block_matches(rows: DataFrame, order: list[str], keys: list[str], templates=
     hit = rows.where(F.arrays_overlap("words", _literal(firsts)))
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(F.col("words"), i).isin(firsts))
     first_block = F.transform(places, lambda i: F.floor(i / STRIDE).cast("int"))
-    blocks = F.array_distinct(F.concat(first_block, F.transform(first_block, lambda b: F.greatest(b - 1, F.lit(0)))))
+    earlier = [F.transform(first_block, lambda b, k=k: F.greatest(b - k, F.lit(0))) for k in range(1, reach)]
+    blocks = F.array_distinct(F.concat(first_block, *earlier))
     blocks = hit.select(*keys, "words", F.explode(blocks).alias("block"))
     # The block's template tokens, in global order.
-    own = F.array_intersect(_literal(order), F.slice("words", F.col("block") * STRIDE + 1, F.lit(BLOCK)))
+    own = F.array_intersect(_literal(order), F.slice("words", F.col("block") * STRIDE + 1, F.lit(block_words)))
     blocks = computed_once(blocks, {"own": own}).select(*keys, "block", "own")
     prefix = blocks.select(*keys, "block", "own", F.posexplode("own").alias("b_place", "token"))
     size, length = F.size("own"), F.size("tokens")
@@ -103,9 +106,6 @@ def license_report(documents: DataFrame, key: str = "doc_id", text: str = "text"
     repeated rows get the same result each; null keys are kept; an empty table gives an empty result; other columns
     are not read.
     """
-    for _, notice in templates:
-        if len(notice.split(" ")) > BLOCK - STRIDE + 1:
-            raise ValueError("a template is longer than the overlap of blocks")
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = computed_once(rows, {"words": words_of(F.col("text"), PLAIN_GAP)})
     order = token_order(rows.select("words"), sorted({token for _, notice in templates for token in notice.split(" ")}))

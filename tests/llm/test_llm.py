@@ -61,6 +61,13 @@ def test_licenses_of_a_planted_notice(spark):
     assert (row[0]["n_base"], row[0]["first_word"], row[0]["last_word"]) == (2, 158, 161) and row[1]["labels"] == ""
 
 
+def test_licenses_of_a_long_template(spark):
+    notice = " ".join(f"t{k}" for k in range(150))
+    rows = [(k, "noise " * k + notice + " noise" * 20) for k in (0, 31, 64, 77)] + [(99, " ".join(notice.split(" ")[:119]))]
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_report(docs(spark, rows), templates=(("long", notice),)).collect()}
+    assert found == {**{k: ("long", 1.0) for k in (0, 31, 64, 77)}, 99: ("", 0.0)}
+
+
 def test_neighbours_recall_ties_and_unusable(spark, folder):
     rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     got = {}
