@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cardtide.llm.shared import map_array, materialised, shared_folder, write_array
 from cardtide.llm.words import SPACED, cut, mix
 
-ORDER = 2
+ORDER = 3
 #: N-grams that a counting task holds before it packs them.
 FLUSH = 1 << 20
 _U = np.uint64

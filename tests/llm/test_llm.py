@@ -153,6 +153,13 @@ def test_language_model(spark, folder, order):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_of_the_query_sees_two_words_back(spark):
+    held = next(k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 5 == 1)
+    rows = [(k, "a x b" if k % 2 else "c x d") for k in range(60)] + [(held, "a x d")]
+    score = {r["doc_id"]: r["score"] for r in language_model.perplexity_report(docs(spark, rows)).collect()}
+    assert score[held] < score[1] - 0.5
+
+
 def test_language_model_is_a_distribution(spark):
     model = language_model.train(docs(spark, [(1, "a b a c a b"), (2, "b b a"), (3, "c a b")]))
     tables, words = language_model.Tables(model), ["a", "b", "c", "unseen"]
