@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cardtide.llm.components import components
-from cardtide.llm.shared import materialised
-from cardtide.llm.words import SPACED, cut, mix, row_of, sequence_hashes
+from cardtide.llm.shared import materialised, shared_folder
+from cardtide.llm.words import SPACED, cut, fresh, mix, row_of, sequence_hashes
 
 SHINGLE = 3
 NUM, DEN = 90, 100
@@ -339,8 +339,26 @@ def similar_documents(
 
 
 def without_copies(documents: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """Rows whose doc_id is the smallest of its component, or null. Rows that repeat a kept doc_id all stay."""
-    found = similar_documents(documents, key, text, **settings)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    unnamed = documents.where(F.col(key).isNull())
-    return documents.join(kept, F.col(key).cast("long") == F.col("__kept"), "left_semi").unionByName(unnamed)
+    """One row of each group of linked texts: the one with the smallest id, then text digest; ids before null.
+
+    Every row is a node, whatever its id, so rows that repeat an id or have none are linked by their texts, and
+    different texts of one id stay. Texts without words are not linked: of these, only rows that repeat both id and
+    text are reduced to one. The numbered rows are written to the shared folder, so that their numbers hold.
+    """
+    spark = documents.sparkSession
+    row, kept = fresh(documents, "row", "kept")
+    folder = shared_folder(spark, "rows")
+    documents.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    found = similar_documents(rows, row, text, **settings).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    named = rows.select(F.col(row).alias("row"), F.col(key).cast("long").alias("id"), F.md5(F.col(text)).alias("digest"))
+    worded = F.col("n_shingles") > 0
+    groups = [
+        F.when(worded, F.col("component_id")).alias("component"),
+        F.when(~worded, F.col("id")).alias("own_id"),
+        F.when(~worded, F.col("digest")).alias("own_digest"),
+        worded.alias("linked"),
+    ]
+    first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "digest", "row"))
+    chosen = found.join(named, "row").groupBy(*groups).agg(first.alias(kept)).select(kept)
+    return rows.join(chosen, F.col(row) == F.col(kept), "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -271,6 +271,15 @@ def test_similar_documents_against_brute_force(spark, monkeypatch, block_bytes):
     assert {r["doc_id"] for r in jaccard.without_copies(docs(spark, rows)).collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_one_row_of_repeated_and_unnamed_copies(spark):
+    base = [f"w{k}" for k in range(80)]
+    text, near, other = " ".join(base), " ".join(base[:-1] + ["end"]), " ".join(reversed(base))
+    rows = [(7, text), (7, text), (9, near), (None, text), (None, other), (None, other), (None, other + " end"), (7, "alone"), (5, None), (5, None), (6, "")]
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.without_copies(docs(spark, rows * 3)).collect())
+    unnamed = min(other, other + " end", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert left == sorted([(7, text), (0, unnamed), (7, "alone"), (5, ""), (6, "")])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 3), (5, 4), (4, 5), (None, 1), (9, 8), (8, 7), (7, 6), (6, 1)], "a long, b long")
     assert dict(components(edges).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 1, 7: 1, 8: 1, 9: 1}
