@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtide.llm import decontamination, jaccard, language_model, licenses, neighbours, pieces, quotations, secrets, toxicity, url_filter
+from cardtide.llm import decontamination, jaccard, language_model, licenses, manifest, neighbours, pieces, quotations, secrets, toxicity, url_filter
 from cardtide.llm.words import UPPER
 
 
@@ -52,6 +52,10 @@ def op9_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.piece_report(table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -63,12 +67,36 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+#: CRC-32 of an ASCII text, from a table that is derived from the reflected polynomial.
+_CRC_TABLE = """
+    crc_table AS (
+        SELECT list(c ORDER BY i) AS crcs FROM (
+            SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c
+            FROM range(256) r(i)
+        )
+    )"""
+
+
+def _crc(text: str) -> str:
+    """For rows that are joined with ``crc_table``, which has one row."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    step = "lambda c, x: xor(c // 256, crcs[xor(c % 256, x) + 1])"
+    return f"xor(list_reduce({codes}, {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_FIELDS = [_field(name) for name in ("doc_id", "source", "lang", "text")]
+
 #: The notices' words again, apart from the operator.
 _NOTICES = """
     ('apache-2.0', 'licensed under the apache license version 2 0'),
@@ -157,4 +185,52 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
     sha256(coalesce(names, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE {_CRC_TABLE},
+coded AS (
+    SELECT *, {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS hit, {_FIELDS[0]} AS i, {_FIELDS[1]} AS s, {_FIELDS[2]} AS l, {_FIELDS[3]} AS t
+    FROM documents, crc_table
+),
+leaves AS (
+    SELECT doc_id, lang, sha256(i || s || l || {_field("n_chars")} || t) AS leaf,
+        sha256(i || s || l || {_field("n_chars + CASE WHEN hit THEN 1 ELSE 0 END")} || t) AS tampered
+    FROM coded
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS w FROM leaves
+),
+level AS (
+    SELECT lang, 0 AS k, i, w, leaf AS h FROM numbered
+    UNION ALL
+    SELECT lang, k + 1, i // 2, (w + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM level WHERE w > 1 GROUP BY lang, k, w, i // 2
+),
+subroots AS (
+    SELECT lang, k AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS w FROM level WHERE w = 1
+),
+top AS (
+    SELECT 0 AS k, g AS i, w, subroot AS h FROM subroots
+    UNION ALL
+    SELECT k + 1, i // 2, (w + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE w > 1 GROUP BY k, w, i // 2
+),
+path AS (
+    SELECT doc_id, k, n.i >> k AS at, x.h
+    FROM numbered n JOIN level x ON n.lang IS NOT DISTINCT FROM x.lang AND x.w > 1 AND x.i = xor(n.i >> k, CAST(1 AS BIGINT))
+    UNION ALL
+    SELECT doc_id, height + k, g >> k, x.h
+    FROM numbered n JOIN subroots s ON n.lang IS NOT DISTINCT FROM s.lang JOIN top x ON x.w > 1 AND x.i = xor(g >> k, CAST(1 AS BIGINT))
+),
+steps AS (
+    SELECT n.doc_id, s.height + (SELECT max(k) FROM top) AS height, n.tampered, s.subroot
+    FROM numbered n JOIN subroots s ON n.lang IS NOT DISTINCT FROM s.lang
+),
+fold AS (
+    SELECT doc_id, 0 AS k, height, tampered AS h FROM steps
+    UNION ALL
+    SELECT f.doc_id, f.k + 1, height, sha256(CASE WHEN p.h IS NULL THEN f.h WHEN p.at % 2 = 1 THEN p.h || f.h ELSE f.h || p.h END)
+    FROM fold f LEFT JOIN path p ON p.doc_id = f.doc_id AND p.k = f.k WHERE f.k < height
+),
+proofs AS (SELECT doc_id, string_agg(h, '' ORDER BY k) AS proof FROM path GROUP BY ALL)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, fold.h AS folded_root, fold.h = top.h AS verified
+FROM numbered JOIN steps USING (doc_id) JOIN fold USING (doc_id) LEFT JOIN proofs USING (doc_id), top
+WHERE fold.k = fold.height AND top.w = 1""",
 }
