@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtide.llm import decontamination, jaccard, language_model, licenses, manifest, neighbours, pieces, quotations, secrets, toxicity, url_filter
+from cardtide.llm import decontamination, jaccard, language_model, licenses, manifest, neighbours, periodic, pieces, quotations, secrets, toxicity, url_filter
 from cardtide.llm.words import UPPER
 
 
@@ -56,6 +56,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest_report(table(spark, folder, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -233,4 +238,41 @@ proofs AS (SELECT doc_id, string_agg(h, '' ORDER BY k) AS proof FROM path GROUP
 SELECT doc_id, leaf, subroot, top.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, fold.h AS folded_root, fold.h = top.h AS verified
 FROM numbered JOIN steps USING (doc_id) JOIN fold USING (doc_id) LEFT JOIN proofs USING (doc_id), top
 WHERE fold.k = fold.height AND top.w = 1""",
+    "op12_periodic_runs": f"""
+WITH {_CRC_TABLE},
+split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc("CAST(doc_id AS VARCHAR)")} AS h
+    FROM documents, crc_table
+),
+placed AS (SELECT *, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+words AS (
+    SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0
+        THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) END])
+        ELSE w END AS w
+    FROM placed
+),
+fives AS (SELECT doc_id, i, w[i + 1:i + 5] AS f FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM words)),
+alike AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM fives x JOIN fives y ON x.doc_id = y.doc_id AND x.f = y.f AND x.i < y.i
+),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM alike),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS l FROM islands GROUP BY doc_id, q, island),
+runs AS (
+    SELECT doc_id, s, l, min(q) AS q FROM stretches WHERE l >= greatest(6, 4 * q) GROUP BY doc_id, s, l
+),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id
+),
+best AS (
+    SELECT doc_id, s, l, q FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) = 1
+),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+left_over AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+    FROM (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM words) ANTI JOIN dropped USING (doc_id, i)
+    GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM words LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
 }
