@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardtide.llm import decontamination, jaccard, language_model, licenses, manifest, neighbours, periodic, pieces, quotations, secrets, toxicity, url_filter
+from cardtide.llm import (
+    decontamination, jaccard, language_model, licenses, manifest, neighbours, periodic, personal, pieces, quotations, secrets, toxicity, url_filter,
+)
 from cardtide.llm.words import UPPER
 
 
@@ -60,6 +62,10 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.run_report(table(spark, folder, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_report(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -73,6 +79,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
