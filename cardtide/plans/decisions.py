@@ -130,33 +130,37 @@ def heuristic_decisions(events: DataFrame) -> DataFrame:
     return with_decisions(with_thresholds(with_heuristic_score(with_model_features(events))))
 
 
-def score_contract_breaks(scored: DataFrame) -> DataFrame:
+SCORE_FIELDS = [
+    "transaction_id", "fraud_probability", "decision", "verify_threshold", "decline_threshold",
+    "expected_cost_approve", "expected_cost_verify", "expected_cost_decline", "model_version",
+]
+
+
+def score_is_good(model_version: str | None = None) -> Column:
+    """Whether a row keeps the score contract: all fields there, finite and in range, the named model's."""
+    number = {name: F.col(name).cast("double") for name in SCORE_FIELDS if name not in ("transaction_id", "decision", "model_version")}
+    good = F.col("decision").isin("approve", "verify", "decline")
+    for name in SCORE_FIELDS:
+        good = good & F.col(name).isNotNull()
+    for name, value in number.items():
+        # NaN is above every number in Spark.
+        good = good & ((value <= 1) & (value >= 0) if not name.startswith("expected") else (value < float("inf")) & (value > float("-inf")))
+    if model_version is not None:
+        good = good & (F.col("model_version") == model_version)
+    return F.coalesce(good, F.lit(False))
+
+
+def score_contract_breaks(scored: DataFrame, model_version: str | None = None) -> DataFrame:
     """Rows a scorer must never emit."""
-    probability = F.col("fraud_probability")
-    required = [
-        "transaction_id", "fraud_probability", "decision", "verify_threshold", "decline_threshold",
-        "expected_cost_approve", "expected_cost_verify", "expected_cost_decline", "model_version",
-    ]
-    absent = F.lit(False)
-    for name in required:
-        absent = absent | F.col(name).isNull()
-    return scored.filter(
-        absent
-        | ~probability.between(0, 1)
-        | F.isnan(probability)
-        | ~F.col("decision").isin("approve", "verify", "decline")
-    )
+    return scored.filter(~score_is_good(model_version))
 
 
-def enforce_score_contract(scored: DataFrame) -> DataFrame:
+def enforce_score_contract(scored: DataFrame, model_version: str | None = None) -> DataFrame:
     """Fail the job, rather than write, when a score leaves its contract."""
-    probability = F.col("fraud_probability")
-    named = F.col("decision").isin("approve", "verify", "decline")
-    good = probability.between(0, 1) & ~F.isnan(probability) & named & F.col("transaction_id").isNotNull()
     message = F.concat(F.lit("invalid score for "), F.coalesce("transaction_id", F.lit("a row without id")))
     return scored.withColumn(
         "fraud_probability",
-        F.when(F.coalesce(good, F.lit(False)), probability).otherwise(F.raise_error(message).cast("double")),
+        F.when(score_is_good(model_version), F.col("fraud_probability")).otherwise(F.raise_error(message).cast("double")),
     )
 
 

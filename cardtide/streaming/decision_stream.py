@@ -1,28 +1,34 @@
 """Messages in, decisions, dead letters, metrics, outbound messages and alerts out.
 
 Every output of a micro-batch is a folder named after its batch id and is overwritten when the
-batch is retried. A batch counts only once its commit row exists, which is written last, so readers
-see all outputs of a batch or none.
+batch is retried. A batch counts only once its commit row exists, so readers see all of a batch's
+outputs or none. Alerts come after the commit and never hold it up: ``alert_stream`` writes those
+that failed. Which message keys are new comes from the query's own keyed state.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from cardtide.fixed_values import HIGH_RISK_THRESHOLD, RAW_TOPIC
+from cardtide.fixed_values import HEURISTIC_VERSION, HIGH_RISK_THRESHOLD, RAW_TOPIC, RETENTION_DAYS
 from cardtide.operators import contract, decision_log, operations
 from cardtide.plans import decisions
 from cardtide.sources.schemas import EVENT_FIELDS
+from cardtide.streaming.sinks import DecisionSinks, read_if_present
 
 MESSAGE_SCHEMA = "value binary, topic string, partition int, offset bigint"
+LOGGER = logging.getLogger(__name__)
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUTS = ["scored_transactions", "rejected_transactions", "pipeline_metrics", "outbox", "alerts"]
+#: A function from events to decisions, with the ``model_version`` that its rows carry as an attribute.
 Scorer = Callable[[DataFrame], DataFrame]
+#: A message key is free again this long after its message, as published messages are kept.
+DEDUPE_HOURS = RETENTION_DAYS["outbox"][1] * 24
 
 
 def message_files(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -50,39 +56,46 @@ def heuristic_scorer(events: DataFrame) -> DataFrame:
     return decisions.heuristic_decisions(events)
 
 
+heuristic_scorer.model_version = HEURISTIC_VERSION
+
+
 def model_scorer(bundle, explain: bool = True) -> Scorer:
-    return lambda events: bundle.decide(decisions.with_model_features(events), explain)
+    def score(events: DataFrame) -> DataFrame:
+        return bundle.decide(decisions.with_model_features(events), explain)
 
+    score.model_version = bundle.model_version
+    return score
 
-@dataclass
-class DecisionSinks:
-    """Folders of one pipeline under a shared root."""
 
-    root: str
+def _versioned(scorer: Scorer) -> str:
+    version = getattr(scorer, "model_version", None)
+    if not version:
+        raise ValueError("a scorer must name its model_version, which is part of every message key")
+    return version
 
-    def write(self, frame: DataFrame, name: str, batch_id: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
 
-    def commit(self, spark: SparkSession, batch_id: int) -> None:
-        """Last write of a batch: one row in its own file."""
-        row = spark.range(1, numPartitions=1).select(
-            F.lit(batch_id).cast("bigint").alias("committed_batch"), F.current_timestamp().alias("committed_at")
-        )
-        row.write.mode("overwrite").parquet(f"{self.root}/commits/batch_id={batch_id}")
+def with_new_keys(
+    messages: DataFrame, model_version: str, arrived_at: Column | None = None, horizon_hours: int = DEDUPE_HOURS
+) -> DataFrame:
+    """All deliveries, and beside them a row with ``first_key`` for each message key that is not known yet.
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame | None:
-        """Rows of committed batches; None before the first commit."""
-        try:
-            commits = spark.read.parquet(f"{self.root}/commits").select(
-                F.col("committed_batch").alias("batch_id")
-            )
-            rows = spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in (error.getCondition() or ""):
-                return None
-            raise
-        rows = rows.withColumn("batch_id", F.col("batch_id").cast("bigint"))
-        return rows.join(commits, "batch_id", "left_semi")
+    Known keys are the query's state, not the outbox: a key is kept for the horizon from its first arrival and then
+    forgotten. Spark forgets it when the time of a later batch is twice the watermark's delay past it, so the delay is
+    half the horizon. Time is that of arrival, which never runs backwards, so no row is too late for its key.
+    """
+    moment = F.current_timestamp() if arrived_at is None else arrived_at
+    parsed = contract.parse_messages(messages.withColumn("_arrived", moment.cast("timestamp")))
+    scored = F.concat_ws(":", F.lit("scored"), "transaction_id", F.lit(model_version))
+    rejected = F.concat_ws(":", F.lit("rejected"), "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
+    keys = (
+        parsed.select("_arrived", F.when(F.col("accepted"), scored).otherwise(rejected).alias("first_key"))
+        .withWatermark("_arrived", f"{horizon_hours * 30} minutes")
+        .dropDuplicatesWithinWatermark(["first_key"])
+    )
+    fields = T.StructType.fromDDL(MESSAGE_SCHEMA).fields
+    return messages.select(*[field.name for field in fields], F.lit(None).cast("string").alias("first_key")).unionByName(
+        keys.select(*[F.lit(None).cast(field.dataType).alias(field.name) for field in fields], "first_key")
+    )
 
 
 def write_batch(
@@ -93,18 +106,34 @@ def write_batch(
     alert_threshold: float = HIGH_RISK_THRESHOLD,
     now: Column | str | None = None,
 ) -> None:
-    """All outputs of one micro-batch, then its commit."""
+    """All outputs of one micro-batch, its commit, then its alerts.
+
+    With a column ``first_key`` (``with_new_keys``), messages go to the outbox if their key is among the new ones; without
+    it, once for each key of the batch.
+    """
     spark = messages.sparkSession
     # One timestamp for the whole batch, fixed before anything is written.
     if now is None:
         now = spark.range(1).select(F.current_timestamp()).first()[0]
     now = F.lit(now).cast("timestamp")
     arrival = ["partition", "offset"]
-    parsed = contract.parse_messages(messages).persist(StorageLevel.MEMORY_AND_DISK)
-    accepted = contract.accepted_events(parsed, arrival)
-    scored = decisions.enforce_score_contract(scorer(accepted)).persist(StorageLevel.MEMORY_AND_DISK)
-    letters = contract.dead_letters(parsed, now).persist(StorageLevel.MEMORY_AND_DISK)
+    held = []
+
+    def kept(frame: DataFrame) -> DataFrame:
+        held.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
     try:
+        new_keys = None
+        if "first_key" in messages.columns:
+            # Kept, so that the keyed state is passed through once.
+            rows = kept(messages)
+            new_keys = rows.filter("first_key IS NOT NULL").select(F.col("first_key").alias("dedupe_key"))
+            messages = rows.filter("first_key IS NULL").drop("first_key")
+        parsed = kept(contract.parse_messages(messages))
+        accepted = contract.accepted_events(parsed, arrival)
+        scored = kept(decisions.enforce_score_contract(scorer(accepted), _versioned(scorer)))
+        letters = kept(contract.dead_letters(parsed, now))
         # The position gives the arrival order of two deliveries of one transaction in a batch.
         table = decisions.to_decision_table(scored, now, arrival)
         sinks.write(table, "scored_transactions", batch_id)
@@ -116,17 +145,17 @@ def write_batch(
             .unionByName(decision_log.rejected_messages(letters, arrival))
             .withColumns({"created_at": now, "available_at": now, "published_at": F.lit(None).cast("timestamp")})
         )
-        known = sinks.read(spark, "outbox")
-        if known is None:
-            known = outgoing.limit(0)
-        else:
-            known = known.filter(F.col("batch_id") != batch_id)
-        fresh = decision_log.new_messages(outgoing, known, arrival)
+        if new_keys is not None:
+            outgoing = outgoing.join(new_keys, "dedupe_key", "left_semi")
+        fresh = decision_log.first_messages(outgoing, arrival)
         sinks.write(fresh.drop(*arrival), "outbox", batch_id)
-        sinks.write(decision_log.high_risk_alerts(scored, alert_threshold), "alerts", batch_id)
-        sinks.commit(spark, batch_id)
+        sinks.commit(spark, batch_id, now)
+        try:
+            sinks.write(decision_log.high_risk_alerts(scored, alert_threshold), "alerts", batch_id)
+        except Exception:  # the batch is complete without its alerts, which alert_stream writes
+            LOGGER.exception("alerts of batch %s are left to the alert stream", batch_id)
     finally:
-        for frame in (letters, scored, parsed):
+        for frame in reversed(held):
             frame.unpersist()
 
 
@@ -138,9 +167,17 @@ def start(
     every: str | None = None,
     alert_threshold: float = HIGH_RISK_THRESHOLD,
     now: Column | str | None = None,
+    arrived_at: Column | None = None,
+    horizon_hours: int = DEDUPE_HOURS,
 ) -> StreamingQuery:
-    """Start the pipeline: every ``every`` (such as ``1 second``), or once over what is available."""
-    writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+    """Start the pipeline: every ``every`` (such as ``1 second``), or once over what is available.
+
+    ``arrived_at`` is the time by which message keys are forgotten, the current time by default.
+    """
+    # State of a week's keys belongs on disk. A query that was started with another store keeps it.
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    marked = with_new_keys(messages, _versioned(scorer), arrived_at, horizon_hours)
+    writer = marked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda frame, batch_id: write_batch(frame, batch_id, sinks, scorer, alert_threshold, now)
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}
@@ -148,18 +185,26 @@ def start(
 
 
 def current_decisions(spark: SparkSession, sinks: DecisionSinks) -> DataFrame | None:
-    """One row per transaction: its last delivery."""
+    """One row per transaction: its last delivery, unless that is expired."""
     log = sinks.read(spark, "scored_transactions")
     snapshot = _snapshot(spark, sinks)
     if snapshot is None:
         return None if log is None else decision_log.latest_versions(log)
     frame, upto = snapshot
+    cutoff = sinks.expired_before(spark, "scored_transactions")
+    if cutoff is not None:
+        frame = frame.filter(F.col("processed_at") >= F.lit(cutoff))
+    if log is None:
+        return frame
     newer = log.filter(F.col("batch_id") > upto)
     return decision_log.latest_versions(frame.unionByName(newer))
 
 
 def compact(spark: SparkSession, sinks: DecisionSinks) -> int | None:
-    """Fold committed batches into a snapshot, so that reading the latest state stays cheap."""
+    """Fold committed batches into a snapshot, so that reading the latest state stays cheap.
+
+    The batches stay until retention takes them, as model changes are read from them; so do earlier snapshots.
+    """
     log = sinks.read(spark, "scored_transactions")
     latest = current_decisions(spark, sinks)
     if log is None or latest is None:
@@ -171,18 +216,18 @@ def compact(spark: SparkSession, sinks: DecisionSinks) -> int | None:
     latest.filter(F.col("batch_id") <= upto).write.mode("overwrite").parquet(
         f"{sinks.root}/decision_snapshots/upto={upto}"
     )
-    done = spark.range(1, numPartitions=1).select(F.lit(upto).cast("bigint").alias("upto"))
+    done = spark.range(1, numPartitions=1).select(
+        F.lit(upto).cast("bigint").alias("upto"), F.current_timestamp().alias("folded_at")
+    )
     done.write.mode("append").parquet(f"{sinks.root}/snapshot_commits")
     return upto
 
 
 def _snapshot(spark: SparkSession, sinks: DecisionSinks):
-    try:
-        upto = spark.read.parquet(f"{sinks.root}/snapshot_commits").agg(F.max("upto")).first()[0]
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in (error.getCondition() or ""):
-            return None
-        raise
+    commits = read_if_present(spark, f"{sinks.root}/snapshot_commits")
+    if commits is None:
+        return None
+    upto = commits.agg(F.max("upto")).first()[0]
     return spark.read.parquet(f"{sinks.root}/decision_snapshots/upto={upto}"), upto
 
 
