@@ -87,7 +87,7 @@ def windowed(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.with_windows(rows)
 
 
-def messages(spark: SparkSession, folder: str) -> DataFrame:
+def messages(spark: SparkSession, folder: str, keep: list[str] | None = None) -> DataFrame:
     """Every event as a JSON message with its position, as a message topic would deliver it."""
     body = F.struct(
         *[
@@ -101,6 +101,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).alias("partition"),
         F.substring("transaction_id", 5, 20).cast("bigint").alias("offset"),
         "event_time",
+        *(keep or []),
     )
 
 
@@ -335,9 +336,9 @@ def latest_snapshots(spark, folder):
     )
 
 
-def model_health(spark, folder):
-    """Health of a report per day, whose drift share is that day's share of non-approved decisions."""
-    reports = (
+def daily_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """A drift report per day, whose drift share is that day's share of non-approved decisions."""
+    return (
         staged(spark, folder)
         .groupBy("transaction_date")
         .agg(
@@ -347,7 +348,10 @@ def model_health(spark, folder):
         .withColumn("health_status", drift.health_status(F.col("drift_share")))
         .drop("transaction_date")
     )
-    return presented(drift.model_health(reports, F.lit("2024-02-10 00:00:00")))
+
+
+def model_health(spark, folder):
+    return presented(drift.model_health(daily_reports(spark, folder), F.lit("2024-02-10 00:00:00")))
 
 
 def upsert_latest(spark, folder):

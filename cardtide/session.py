@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,10 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder, so that a lost executor cannot change it."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """URI of a new folder below the one that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -267,6 +267,19 @@ deliveries AS (
   FROM base_log WHERE channel = 'card_not_present' OR customer_ltv_band = 'high'
 )"""
 
+# The log of four batches: the scored and the rejected rows of parts of January, and when each part was processed.
+LOGGED = """
+entered AS (
+  SELECT event_id, event_time, 'scored:' || transaction_id || ':' || model_version AS dedupe_key, decision FROM scored
+  UNION ALL
+  SELECT event_id, event_time, 'rejected:txns.raw:0:' || event_id, NULL FROM all_events WHERE event_id IN (SELECT event_id FROM issues)
+),
+logged AS (
+  SELECT *, (greatest(least(day(event_time), 25), 1) - 1) // 8 AS batch_id,
+    [TIMESTAMP '2024-01-09', TIMESTAMP '2024-01-17', TIMESTAMP '2024-01-25', TIMESTAMP '2024-02-01'][(least(day(event_time), 25) - 1) // 8 + 1] AS processed_at
+  FROM entered
+)"""
+
 
 def _with(*parts: str, select: str) -> str:
     return f"WITH {', '.join(parts)}\n{select}"
@@ -717,4 +730,29 @@ UNION ALL SELECT 'rejected_transactions', count(*) FILTER (WHERE event_time < TI
 UNION ALL SELECT 'pipeline_metrics', count(*) FILTER (WHERE metric_time < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY) FROM metrics
 UNION ALL SELECT 'outbox', count(*) FILTER (WHERE decision = 'approve' AND event_time < TIMESTAMP '2024-04-15' - INTERVAL 7 DAY) FROM scored"""),
     "training_cap": _with(RAW, select=f"""SELECT trans_num, {_time('at_time')} AS trans_date_trans_time, {_r('amt', 'amt')} FROM raw"""),
+    "stream_outbox": _with(*_SC, """
+keyed AS (
+  SELECT event_id, 'scored:' || transaction_id || ':' || model_version AS dedupe_key, 'txns.scored' AS topic, transaction_id AS message_key FROM scored
+  UNION ALL
+  SELECT event_id, 'rejected:txns.raw:0:' || event_id, 'txns.rejected', transaction_id FROM all_events WHERE event_id IN (SELECT event_id FROM issues)
+)""", select=f"""SELECT dedupe_key, topic, message_key, {_time("TIMESTAMP '2024-03-01 00:00:00'")} AS created_at FROM keyed
+UNION ALL
+SELECT dedupe_key, topic, message_key, {_time("TIMESTAMP '2024-03-09 00:00:00'")} FROM keyed
+JOIN all_events USING (event_id) WHERE channel = 'card_not_present'"""),
+    "outbox_publication": _with(*_SC, LOGGED, select=f"""SELECT dedupe_key, batch_id,
+  CASE WHEN batch_id < 2 THEN {_time("TIMESTAMP '2024-01-20 00:00:00'")} WHEN batch_id = 2 THEN {_time("TIMESTAMP '2024-02-02 00:00:00'")} END AS published_at,
+  CAST(0 AS BIGINT) AS attempts FROM logged"""),
+    "retention_run": _with(*_SC, LOGGED, """
+counted AS (
+  SELECT 'scored_transactions' AS table_name, processed_at < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY AS gone FROM logged WHERE decision IS NOT NULL
+  UNION ALL
+  SELECT 'rejected_transactions', processed_at < TIMESTAMP '2024-04-15' - INTERVAL 30 DAY FROM logged WHERE decision IS NULL
+  UNION ALL
+  SELECT 'pipeline_metrics', processed_at < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY FROM (SELECT DISTINCT batch_id, processed_at, decision FROM logged)
+  UNION ALL
+  SELECT 'outbox', batch_id < 3 FROM logged
+  UNION ALL
+  SELECT 'model_drift_reports', max(event_time) < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY FROM scored GROUP BY CAST(event_time AS DATE)
+)""", select="""SELECT table_name, count(*) AS rows_before, count(*) FILTER (WHERE gone) AS expired_rows, count(*) FILTER (WHERE NOT gone) AS rows_after
+FROM counted GROUP BY 1"""),
 }
