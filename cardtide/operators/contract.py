@@ -140,7 +140,7 @@ def _read_field(name: str, data_type: T.DataType) -> tuple[str, str]:
             f"CASE WHEN {kind} = 'STRING' AND rlike({text}, {_TIME_TEXT}) "
             f"THEN try_cast(replace({text}, '_', 'T') AS TIMESTAMP) "
             f"WHEN {numeric} OR ({kind} = 'STRING' AND rlike({text}, {_NUMBER_TEXT})) "
-            f"THEN timestamp_micros(CAST({seconds} * 1e6 AS BIGINT)) END"
+            f"THEN timestamp_micros(try_cast({seconds} * 1e6 AS BIGINT)) END"
         )
         return value, (
             f"CASE WHEN NOT ({numeric} OR {kind} = 'STRING') THEN 'datetime_type' "
@@ -177,13 +177,58 @@ def _read_field(name: str, data_type: T.DataType) -> tuple[str, str]:
     )
 
 
+def _plain_reading(messages: DataFrame) -> DataFrame:
+    """``_text``, the event's fields by one typed read, and ``_plain``: whether that read is the event.
+
+    It is, for one flat object of known keys, each once, whose text fields are texts, whose other fields have the type
+    asked for, and which breaks no rule. Whatever is not certain here is left to the full reading.
+    """
+    texts = [field.name for field in EVENT_SCHEMA if isinstance(field.dataType, (T.StringType, T.TimestampType))]
+    wanted = ", ".join(f"{field.name} {'STRING' if field.name in texts else field.dataType.simpleString()}" for field in EVENT_SCHEMA)
+    options = "map('columnNameOfCorruptRecord', '_bad', 'allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
+    decoded = computed_once(messages, {"_text": "if(is_valid_utf8(CAST(value AS STRING)), CAST(value AS STRING), NULL)"})
+    # One opening and one closing brace, at the ends: nothing nested, nothing after the object.
+    flat = "startswith(_text, '{') AND endswith(_text, '}') AND length(translate(_text, '{}', '')) = length(_text) - 2"
+    read = computed_once(
+        decoded,
+        {
+            "_read": f"if({flat}, from_json(_text, '{wanted}, _bad STRING', {options}), NULL)",
+            "_keys": f"if({flat}, json_object_keys(_text), NULL)",
+        },
+    )
+    values = {name: f"_read.{name}" for name in EVENT_FIELDS}
+    values["event_time"] = f"if(rlike(_read.event_time, {_TIME_TEXT}), try_cast(replace(_read.event_time, '_', 'T') AS TIMESTAMP), NULL)"
+    named = computed_once(read, values)
+    # A quote inside a text is escaped, so this stands only where the field's own text begins.
+    fine = [f"(contains(_text, '\"{name}\":\"') OR contains(_text, '\"{name}\": \"'))" for name in texts]
+    fine += ["_read._bad IS NULL", f"size(_keys) = size(array_intersect(_keys, array({_listed(EVENT_FIELDS)})))"]
+    fine += [f"{name} IS NOT NULL" for name in EVENT_FIELDS if name not in OPTIONAL_FIELDS]
+    fine += [f"NOT coalesce({condition}, false)" for name in EVENT_FIELDS for condition, _ in _rules(name)]
+    return computed_once(named, {"_plain": f"coalesce({' AND '.join(fine)}, false)"}).drop("_read", "_keys")
+
+
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Read ``value BINARY`` rows as events plus ``issues``; other columns pass through.
 
-    The document is parsed once into a VARIANT and each field is read on its own, so that one bad
-    field yields its own issue instead of an empty record. ``payload_state`` is ``object``,
-    ``scalar`` (JSON but no object), ``invalid`` (not JSON), ``undecodable`` or ``null``.
+    A typed read comes first and is all that a message of the contract's plain form needs. Only the others are read field
+    by field. ``payload_state`` is ``object``, ``scalar`` (JSON but no object), ``invalid`` (not JSON), ``undecodable``
+    or ``null``. The two readings scan the messages once each.
     """
+    tiers = _plain_reading(messages)
+    plain = tiers.filter("_plain").select(
+        *messages.columns,
+        F.lit("object").alias("payload_state"),
+        *EVENT_FIELDS,
+        F.array().cast(ISSUES_TYPE).alias("issues"),
+        F.lit(True).alias("accepted"),
+        F.lit(None).cast("variant").alias("_doc"),
+    )
+    return plain.unionByName(_full_reading(tiers.filter("NOT _plain").select(*messages.columns)))
+
+
+def _full_reading(messages: DataFrame) -> DataFrame:
+    """The document is parsed once into a VARIANT and each field is read on its own, so that one bad
+    field yields its own issue instead of an empty record."""
     decoded = computed_once(
         messages, {"_text": "if(is_valid_utf8(CAST(value AS STRING)), CAST(value AS STRING), NULL)"}
     )

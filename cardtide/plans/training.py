@@ -7,7 +7,6 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -15,17 +14,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardtide.fixed_values import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
 from cardtide.functions.scoring import clamp
-from cardtide.operators import evaluation, thresholds
-from cardtide.plans import decisions
+from cardtide.operators import evaluation, isotonic, thresholds
+from cardtide.plans import boosting, decisions
 from cardtide.session import checkpointed, ensure_checkpoint_dir
 
-# Boosting settings.
+# Boosting settings. Columns are drawn per tree; a child has at least this much hessian.
 ROUNDS = 350
 DEPTH = 6
 LEARNING_RATE = 0.06
 ROW_SHARE = 0.85
-COLUMN_SHARE = "0.85"
-MIN_ROWS_PER_LEAF = 3
+COLUMN_SHARE = 0.85
+MIN_CHILD_HESSIAN = 3.0
+L2_TERM = 2.0
 SEED = 42
 
 FINAL_TEST = "final_test"
@@ -63,11 +63,11 @@ class ModelBundle:
         return raw.drop("rawPrediction", "probability", "prediction", "_numbers", "_scaled", *_index_columns(), *_onehot_columns())
 
     def calibrated(self, raw: DataFrame) -> DataFrame:
-        score = raw.withColumn("_score", F.col("raw_probability"))
+        score = raw.withColumn("score", F.col("raw_probability"))
         return (
             self.calibrator.transform(score)
             .withColumn("fraud_probability", clamp(F.col("_calibrated")))
-            .drop("_score", "_calibrated")
+            .drop("score", "_calibrated")
         )
 
     def threshold_table(self, spark: SparkSession) -> DataFrame:
@@ -183,43 +183,33 @@ def fit_booster(train: DataFrame, rounds: int, depth: int = DEPTH) -> PipelineMo
             "_weight": F.when(F.col("is_fraud") == 1, F.lit(float(weight))).otherwise(1.0),
         }
     )
-    booster = GBTClassifier(
-        labelCol="_label",
-        featuresCol="features",
-        weightCol="_weight",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=LEARNING_RATE,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=COLUMN_SHARE,
-        minInstancesPerNode=MIN_ROWS_PER_LEAF,
-        maxBins=64,
-        seed=SEED,
-    )
-    return Pipeline(stages=[*preprocessing_stages(), booster]).fit(weighted)
+    stages = Pipeline(stages=preprocessing_stages()).fit(weighted)
+    # Stored, as binning and every level read it.
+    prepared = checkpointed(stages.transform(weighted).select("features", "_label", "_weight"))
+    settings = boosting.Settings(rounds, depth, LEARNING_RATE, ROW_SHARE, COLUMN_SHARE, MIN_CHILD_HESSIAN, L2_TERM, SEED)
+    booster = boosting.fit(prepared, "features", "_label", "_weight", settings)
+    return PipelineModel(stages=[*stages.stages, booster])
 
 
 def fit_calibrator(scored: DataFrame, score: str, label: str) -> IsotonicRegressionModel:
     """Isotonic regression on one weighted row per distinct score, constant outside the range.
 
-    Equal scores are combined before the fit, so neither copies nor a hot score reach one task.
+    Equal scores are combined first, and violators are pooled range by range (``operators.isotonic``). Spark's model gets
+    the ends of the finished blocks, in which nothing is left to pool.
     """
-    points = (
-        scored.groupBy(F.col(score).cast("double").alias("_score"))
-        .agg(F.avg(F.col(label).cast("double")).alias("_label"), F.count("*").cast("double").alias("_weight"))
+    points = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
+        F.sum(F.col(label).cast("double")).alias("total"), F.count(label).alias("weight")
     )
     return IsotonicRegression(
-        featuresCol="_score", labelCol="_label", weightCol="_weight", predictionCol="_calibrated", isotonic=True
-    ).fit(points)
+        featuresCol="score", labelCol="mean", weightCol="weight", predictionCol="_calibrated", isotonic=True
+    ).fit(isotonic.block_ends(isotonic.pooled_blocks(points)))
 
 
 def calibration_table(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Distinct scores with their calibrated probability."""
     model = fit_calibrator(scored, score, label)
-    distinct = scored.select(F.col(score).cast("double").alias("_score")).distinct()
-    return model.transform(distinct).select(
-        F.col("_score").alias("score"), clamp(F.col("_calibrated")).alias("calibrated")
-    )
+    distinct = scored.select(F.col(score).cast("double").alias("score")).distinct()
+    return model.transform(distinct).select("score", clamp(F.col("_calibrated")).alias("calibrated"))
 
 
 @dataclass
