@@ -275,12 +275,16 @@ def as_spark_model(spark: SparkSession, trees: list[Tree], edges: list[np.ndarra
     return GBTClassificationModel.load(f"{folder}/model")
 
 
-def fit(rows: DataFrame, features: str, label: str, weight: str, settings: Settings) -> GBTClassificationModel:
-    """Boosted trees for a 0/1 label. ``rows`` should be stored, in a fixed order; nulls are errors, as in Spark ML."""
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
+def trees(rows: DataFrame, features: str, label: str, weight: str, settings: Settings) -> tuple[list[np.ndarray], list[Tree]]:
+    """The borders of every feature's bins, and all trees. ``rows`` should be stored, in a fixed order."""
+    ensure_checkpoint_dir(rows.sparkSession)
     size = rows.select(F.size(vector_to_array(features))).first()[0]
     edges = feature_edges(rows, features, size, settings.bins)
     sizes = np.array([len(edge) + 1 for edge in edges])
-    trees = grow(blocks_of(rows, features, label, weight, edges), sizes, settings)
-    return as_spark_model(spark, trees, edges, settings, features, label)
+    return edges, grow(blocks_of(rows, features, label, weight, edges), sizes, settings)
+
+
+def fit(rows: DataFrame, features: str, label: str, weight: str, settings: Settings) -> GBTClassificationModel:
+    """Boosted trees for a 0/1 label. Nulls are errors, as in Spark ML."""
+    edges, grown = trees(rows, features, label, weight, settings)
+    return as_spark_model(rows.sparkSession, grown, edges, settings, features, label)

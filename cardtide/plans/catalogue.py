@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cardtide.fixed_values import FEATURES
@@ -19,7 +20,8 @@ from cardtide.operators import (
     quality,
     thresholds,
 )
-from cardtide.plans import contributions, decisions, training, whatif
+from cardtide.plans import boosting, contributions, decisions, training, whatif
+from cardtide.session import checkpointed
 from cardtide.sources.tables import events_as_card_rows, read_table, training_rows
 
 SALT = "salt"
@@ -531,6 +533,31 @@ def _trained(application: str, folder: str) -> training.TrainingResult:
     return training.train(training.labelled_training_rows(card_rows(spark, folder), SALT))
 
 
+def boosted_stump(spark, folder):
+    """The first split of the booster on all labelled rows, over features whose every value is a border."""
+    rows = training.labelled_training_rows(card_rows(spark, folder), SALT)
+    weight = evaluation.positive_class_weight(rows).scalar()
+    inputs = {
+        "transaction_hour": F.col("transaction_hour"),
+        "transaction_day_of_week": F.col("transaction_day_of_week"),
+        "order_margin_pct": F.col("order_margin_pct"),
+        "is_card_present": (F.col("channel") == "card_present").cast("int"),
+        "is_low": (F.col("customer_ltv_band") == "low").cast("int"),
+        "is_medium": (F.col("customer_ltv_band") == "medium").cast("int"),
+    }
+    prepared = rows.select(
+        array_to_vector(F.array(*[value.cast("double") for value in inputs.values()])).alias("features"),
+        F.col("is_fraud").cast("double").alias("label"),
+        F.when(F.col("is_fraud") == 1, weight).otherwise(1.0).alias("weight"),
+    )
+    settings = boosting.Settings(1, 1, training.LEARNING_RATE, 1.0, 1.0, training.MIN_CHILD_HESSIAN, training.L2_TERM, training.SEED)
+    edges, (tree,) = boosting.trees(checkpointed(prepared), "features", "label", "weight", settings)
+    feature = int(tree.feature[0])
+    found = [(list(inputs)[feature], float(edges[feature][tree.cut[0]]), *[float(v) for v in (tree.gain[0], *tree.value[1:3], *tree.cover[1:3])])]
+    names = "feature string, border double, gain double, left_value double, right_value double, left_hessian double, right_hessian double"
+    return presented(spark.createDataFrame(found, names))
+
+
 def gbt_metrics(spark, folder):
     return presented(_trained(spark.sparkContext.applicationId, folder).metrics)
 
@@ -582,6 +609,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dq_reconcile_labelled, dq_unique, dq_columns, recent_transactions, simulation_rows,
         whatif_category, high_risk_alerts, alerts_half, replay_schedule, replay_realtime, risk_drivers,
         template_explanations, explanation_inputs, retention_counts, training_cap,
-        isotonic_calibration, gbt_metrics, tree_contributions, model_checks,
+        isotonic_calibration, boosted_stump, gbt_metrics, tree_contributions, model_checks,
     )
 }

@@ -755,4 +755,24 @@ counted AS (
   SELECT 'model_drift_reports', max(event_time) < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY FROM scored GROUP BY CAST(event_time AS DATE)
 )""", select="""SELECT table_name, count(*) AS rows_before, count(*) FILTER (WHERE gone) AS expired_rows, count(*) FILTER (WHERE NOT gone) AS rows_after
 FROM counted GROUP BY 1"""),
+    "boosted_stump": _with(*_EV, f"""
+known AS (SELECT *, CAST(fraud_label AS INT) AS y FROM all_events WHERE fraud_label IS NOT NULL),
+weighed AS (SELECT *, CASE WHEN y = 1 THEN (SELECT CAST(count(*) FILTER (WHERE y = 0) AS DOUBLE) / count(*) FILTER (WHERE y = 1) FROM known) ELSE 1 END AS w FROM known),
+inputs AS (
+  SELECT 0 AS f, 'transaction_hour' AS feature, CAST(hour(event_time) AS DOUBLE) AS x, y, w FROM weighed
+  UNION ALL SELECT 1, 'transaction_day_of_week', isodow(event_time) - 1, y, w FROM weighed
+  UNION ALL SELECT 2, 'order_margin_pct', order_margin_pct, y, w FROM weighed
+  UNION ALL SELECT 3, 'is_card_present', CAST(channel = 'card_present' AS INT), y, w FROM weighed
+  UNION ALL SELECT 4, 'is_low', CAST(customer_ltv_band = 'low' AS INT), y, w FROM weighed
+  UNION ALL SELECT 5, 'is_medium', CAST(customer_ltv_band = 'medium' AS INT), y, w FROM weighed
+),
+valued AS (SELECT f, feature, x, sum(w * (0.5 - y)) AS g, sum(w * 0.25) AS h FROM inputs GROUP BY ALL),
+ordered AS (
+  SELECT f, feature, x, sum(g) OVER below AS gl, sum(h) OVER below AS hl, sum(g) OVER every AS ga, sum(h) OVER every AS ha
+  FROM valued WINDOW below AS (PARTITION BY f ORDER BY x), every AS (PARTITION BY f)
+),
+gains AS (SELECT *, (gl * gl / (hl + 2) + (ga - gl) * (ga - gl) / (ha - hl + 2) - ga * ga / (ha + 2)) / 2 AS gain
+  FROM ordered WHERE hl >= 3 AND ha - hl >= 3)""", select=f"""
+SELECT feature, {_r('x', 'border')}, {_r('gain', 'gain')}, {_r('-0.06 * gl / (hl + 2)', 'left_value')}, {_r('-0.06 * (ga - gl) / (ha - hl + 2)', 'right_value')},
+  {_r('hl', 'left_hessian')}, {_r('ha - hl', 'right_hessian')} FROM gains ORDER BY gain DESC, f, x LIMIT 1"""),
 }
