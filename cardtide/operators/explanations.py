@@ -122,6 +122,17 @@ def explanation_inputs(rows: DataFrame) -> DataFrame:
     return drivers.select("transaction_id", F.to_json(record).alias("explanation_input"))
 
 
+def reusable_text(source: str = "template", model: str | None = None, prefix: str = "") -> Column:
+    """Whether a stored text may be shown: a template text may not if another source is wanted, unless it was written
+    for the wanted model."""
+    text = F.col(f"{prefix}explanation_text")
+    usable = F.coalesce(text != "", F.lit(False))
+    if source != "template":
+        same_model = F.coalesce(F.col(f"{prefix}explanation_model") == F.lit(model), F.lit(False))
+        usable = usable & (F.coalesce(F.col(f"{prefix}explanation_source") != "template", F.lit(False)) | same_model)
+    return usable
+
+
 def missing_explanations(
     decisions: DataFrame,
     stored: DataFrame,
@@ -132,16 +143,11 @@ def missing_explanations(
 ) -> DataFrame:
     """New explanation rows for transactions whose stored text may not be reused.
 
-    A stored text is reused unless forced, or it is a template text, the wanted source is another
-    one, and the text was not written for the wanted model.
+    A stored text is reused unless ``force`` is set or ``reusable_text`` says no.
     """
     todo = decisions
     if not force:
-        usable = F.col("explanation_text").isNotNull() & (F.col("explanation_text") != "")
-        if source != "template":
-            same_model = F.coalesce(F.col("explanation_model") == F.lit(model), F.lit(False))
-            usable = usable & ((F.col("explanation_source") != "template") | same_model)
-        reusable = stored.filter(usable).select("transaction_id", "model_version").distinct()
+        reusable = stored.filter(reusable_text(source, model)).select("transaction_id", "model_version").distinct()
         todo = decisions.join(reusable, ["transaction_id", "model_version"], "left_anti")
     return template_explanations(todo).select(
         "transaction_id",

@@ -12,7 +12,7 @@ import logging
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cardtide.fixed_values import HEURISTIC_VERSION, HIGH_RISK_THRESHOLD, RAW_TOPIC, RETENTION_DAYS
@@ -25,7 +25,8 @@ MESSAGE_SCHEMA = "value binary, topic string, partition int, offset bigint"
 LOGGER = logging.getLogger(__name__)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUTS = ["scored_transactions", "rejected_transactions", "pipeline_metrics", "outbox", "alerts"]
-#: A function from events to decisions, with the ``model_version`` that its rows carry as an attribute.
+#: A function from events to decisions, with the ``model_version`` that its rows carry as an attribute. One that
+#: ``explains`` has its rows without contributions counted as failures.
 Scorer = Callable[[DataFrame], DataFrame]
 #: A message key is free again this long after its message, as published messages are kept.
 DEDUPE_HOURS = RETENTION_DAYS["outbox"][1] * 24
@@ -57,6 +58,7 @@ def heuristic_scorer(events: DataFrame) -> DataFrame:
 
 
 heuristic_scorer.model_version = HEURISTIC_VERSION
+heuristic_scorer.explains = True
 
 
 def model_scorer(bundle, explain: bool = True) -> Scorer:
@@ -64,6 +66,7 @@ def model_scorer(bundle, explain: bool = True) -> Scorer:
         return bundle.decide(decisions.with_model_features(events), explain)
 
     score.model_version = bundle.model_version
+    score.explains = explain
     return score
 
 
@@ -136,9 +139,15 @@ def write_batch(
         letters = kept(contract.dead_letters(parsed, now))
         # The position gives the arrival order of two deliveries of one transaction in a batch.
         table = decisions.to_decision_table(scored, now, arrival)
-        sinks.write(table, "scored_transactions", batch_id)
+        seen = Observation()
+        counted = table.observe(seen, F.count_if(F.coalesce(F.size("explanation"), F.lit(0)) < 1).alias("unexplained"))
+        sinks.write(counted, "scored_transactions", batch_id)
         sinks.write(letters, "rejected_transactions", batch_id)
         metrics = operations.scored_metrics(scored, now).unionByName(operations.rejected_metrics(letters, now))
+        unexplained = seen.get["unexplained"] if getattr(scorer, "explains", False) else 0
+        if unexplained:
+            failed = operations.explanation_failures(spark, unexplained, _versioned(scorer), now)
+            metrics = metrics.unionByName(failed)
         sinks.write(metrics, "pipeline_metrics", batch_id)
         outgoing = (
             decision_log.scored_messages(scored, arrival)

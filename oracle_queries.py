@@ -775,4 +775,9 @@ gains AS (SELECT *, (gl * gl / (hl + 2) + (ga - gl) * (ga - gl) / (ha - hl + 2)
   FROM ordered WHERE hl >= 3 AND ha - hl >= 3)""", select=f"""
 SELECT feature, {_r('x', 'border')}, {_r('gain', 'gain')}, {_r('-0.06 * gl / (hl + 2)', 'left_value')}, {_r('-0.06 * (ga - gl) / (ha - hl + 2)', 'right_value')},
   {_r('hl', 'left_hessian')}, {_r('ha - hl', 'right_hessian')} FROM gains ORDER BY gain DESC, f, x LIMIT 1"""),
+    "explanation_log": _with(*_SC, DRIVERS, select=f"""SELECT transaction_id, model_version, CAST(0 AS BIGINT) AS run_id, explanation_text,
+  {_time("TIMESTAMP '2024-01-09 00:00:00'")} AS explanation_generated_at FROM explained JOIN scored USING (transaction_id)
+UNION ALL
+SELECT transaction_id, 'heuristic-v1', 2, explanation_text, {_time("TIMESTAMP '2024-01-25 00:00:00'")}
+FROM explained JOIN scored USING (transaction_id) WHERE customer_ltv_band = 'high'"""),
 }
