@@ -1,13 +1,15 @@
 """Operator 4, LM scoring: an interpolated modified Kneser-Ney n-gram model.
 
-Words are 64-bit hashes. Counting: each task packs its distinct n-grams, sorted by (context, word), into one array per
-shard of the context's hash; a shard's task merges the packed arrays, writes its table into the shared folder, and
-sends the distinct (shorter context, word) on to the shards of the next lower order, whose counts are continuation
-counts. No n-gram is ever one row, and a frequent n-gram arrives once per task. Scoring: workers memory-map the sorted
-hash arrays and look up the distinct n-grams of a slice of texts, shard by shard. The driver sees totals only.
-
-Files per order n and shard: sorted keys of (context, word) with counts, and sorted contexts with their total and how
-many words follow once, twice and more often.
+Words are numbered first: tasks count word hashes, one shard of the hashes at a time numbers its words, frequent words
+before rare ones. An n-gram is then a row of small numbers. Counting tasks pack their distinct n-grams, sorted, as
+differences to the one before, into one compressed array per shard of the context; a shard's task merges the packed
+arrays, writes its table into the shared folder, and sends the distinct n-grams without their first word on to the shards
+of the next lower order, whose counts are continuation counts. No n-gram is ever one row, and a frequent n-gram arrives
+once per task. There are as many shards as the number of tokens asks for. Scoring: workers memory-map the sorted hash
+arrays and look up the distinct n-grams of a slice of texts, shard by shard. The driver sees totals only.
+
+Files: for each shard of the words, their sorted hashes, occurrences and numbers; for each order n and shard, sorted hashes
+of (context, word) with counts, and of contexts with their total and how many words follow once, twice and more often.
 """
 
 from __future__ import annotations
@@ -20,18 +22,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardtide.llm.shared import map_array, materialised, shared_folder, write_array
+from cardtide.llm.shared import delete_folder, map_array, shared_folder, write_array
 from cardtide.llm.words import SPACED, cut, mix
 
 ORDER = 3
 #: N-grams that a counting task holds before it packs them.
 FLUSH = 1 << 20
+#: N-grams, or words, that a shard has to hold at most on average. Tokens are counted for it, of which n-grams are fewer.
+SHARD_TOKENS = 1 << 21
+SHARD_WORDS = 1 << 20
 _U = np.uint64
-_START, _END, _NONE = _U(0x5354), _U(0x454E), _U(1)
+#: Word numbers: text starts are padded with 0, and words that training never saw have no number.
+_START, _UNKNOWN = _U(0), _U(1 << 63)
+#: Hash of the end token, and the empty context.
+_END, _NONE = _U(0x454E), _U(1)
 _STEP = _U(0xA24BAED4963EE407)
 _PACK = "level int, shard int, entries binary, n1 long, n2 long, n3 long, n4 long, total long, raw long, kinds long"
 _FIELDS = [part.split(" ")[0] for part in _PACK.split(", ")]
 _TYPES = [pa.int32(), pa.int32(), pa.binary()] + [pa.int64()] * 7
+#: Words are grouped by the logarithm of their count; numbers are given group by group.
+_GROUPS = 64
 
 
 class Discounts(NamedTuple):
@@ -58,6 +68,7 @@ class NgramModel(NamedTuple):
     folder: str
     order: int
     shards: int
+    word_shards: int
     discounts: tuple[Discounts, ...]
     continuations: int
     backoff: float
@@ -98,18 +109,12 @@ def _key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * _STEP + word)
 
 
-def _reduced(entries: np.ndarray) -> np.ndarray:
-    """Sum the counts of equal n-grams. Columns: contexts, long to short; word; continuations; occurrences."""
-    order = np.lexsort((entries[:, -3], entries[:, 0]))
-    entries = entries[order]
-    new = np.ones(len(entries), bool)
-    new[1:] = (entries[1:, 0] != entries[:-1, 0]) | (entries[1:, -3] != entries[:-1, -3])
-    first = np.flatnonzero(new)
-    out = entries[first]
-    if len(first):
-        out[:, -2] = np.add.reduceat(entries[:, -2], first)
-        out[:, -1] = np.add.reduceat(entries[:, -1], first)
-    return out
+def _context_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of a context from its words, first to last, as ``_contexts`` has it."""
+    total = np.full(len(columns[0]), _NONE, _U)
+    for column in reversed(columns):
+        total = mix(total * _STEP + column)
+    return total
 
 
 def _smallest(values: np.ndarray) -> np.ndarray:
@@ -117,92 +122,166 @@ def _smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
-def _to_bytes(level: int, entries: np.ndarray) -> bytes:
-    """Column by column; the sorted first context as runs, since a context has several words."""
-    first = np.flatnonzero(np.append(True, entries[1:, 0] != entries[:-1, 0]))
-    runs = np.diff(np.append(first, len(entries))).astype(np.uint32)
-    counts = [_smallest(entries[:, k]) for k in (-2, -1)]
-    hashes = [entries[:, k] for k in range(1, entries.shape[1] - 2)] if level > 1 else []
-    head = np.array([len(entries), len(first), *(c.itemsize for c in counts)], np.int64)
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, entries[first, 0], runs, *hashes, *counts))
+def _opens(columns: list[np.ndarray]) -> np.ndarray:
+    """Where any of the columns differs from the row before."""
+    opens = np.zeros(len(columns[0]), bool)
+    opens[:1] = True
+    for column in columns:
+        opens[1:] |= column[1:] != column[:-1]
+    return opens
 
 
-def _from_bytes(level: int, packed: bytes) -> np.ndarray:
-    count, first, *sizes = np.frombuffer(packed, np.int64, 4).tolist()
-    entries, at = np.empty((count, max(level - 1, 1) + 3), _U), 32
+def _reduced(entries: np.ndarray, words: int) -> np.ndarray:
+    """Sort the n-grams and sum the counts of equal ones. Rows: the words in order, continuations, occurrences."""
+    entries = entries[:, np.lexsort(entries[:words][::-1])]
+    first = np.flatnonzero(_opens(list(entries[:words])))
+    out = entries[:, first]
+    if len(first):
+        for k in (-2, -1):
+            out[k] = np.add.reduceat(entries[k], first)
+    return out
 
-    def column(length: int, size: int) -> np.ndarray:
-        nonlocal at
-        at += length * size
-        return np.frombuffer(packed, f"<u{size}", length, at - length * size)
 
-    values = column(first, 8)
-    entries[:, 0] = np.repeat(values, column(first, 4))
-    for k in range(1, entries.shape[1] - 2):
-        entries[:, k] = column(count, 8) if level > 1 else entries[:, 0]
-    for k, size in zip((-2, -1), sizes, strict=True):
-        entries[:, k] = column(count, size)
+def _to_bytes(entries: np.ndarray, words: int) -> bytes:
+    """Sorted n-grams, each word as the difference to the row before while the words to its left stay, byte by byte of
+    the narrowest type, compressed."""
+    parts, size = [], entries.shape[1]
+    opens = np.zeros(size, bool)
+    opens[:1] = True
+    for k, row in enumerate(entries):
+        values = row
+        if k < words:
+            values = row - np.where(opens, _U(0), np.concatenate([row[:1], row[:-1]]))
+            opens = opens | (np.concatenate([[True], row[1:] != row[:-1]]))
+        narrow = _smallest(values)
+        parts.append((narrow.itemsize, narrow.view(np.uint8).reshape(size, narrow.itemsize).T.tobytes()))
+    head = np.array([size, *(width for width, _ in parts)], np.int64).tobytes()
+    return head + pa.compress(b"".join(part for _, part in parts), codec="zstd", asbytes=True)
+
+
+def _from_bytes(packed: bytes, words: int) -> np.ndarray:
+    size, *widths = np.frombuffer(packed, np.int64, words + 3).tolist()
+    data = np.frombuffer(pa.decompress(packed[8 * (words + 3) :], size * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    entries, at, opens = np.empty((words + 2, size), _U), 0, np.arange(size) == 0
+    for k, width in enumerate(widths):
+        plane = np.ascontiguousarray(data[at : at + size * width].reshape(width, size).T)
+        at += size * width
+        values = plane.view(f"<u{width}").ravel().astype(_U)
+        if k < words:
+            first = np.maximum.accumulate(np.where(opens, np.arange(size), 0))
+            sums = np.cumsum(values)
+            values = sums - (sums - values)[first]
+            opens = opens | np.concatenate([[True], values[1:] != values[:-1]])
+        entries[k] = values
     return entries
 
 
+def _batch(level: int, shards: list[int], packs: list[bytes], facts: list[int] | None = None) -> pa.RecordBatch:
+    columns = [[level] * len(shards), shards, packs, *([fact] * len(shards) for fact in facts or [0] * 7)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _FIELDS)
+
+
 def _packed(level: int, entries: np.ndarray, shards: int) -> pa.RecordBatch:
-    """One row per shard of sorted entries."""
-    shard = _shard(entries[:, 0], shards)
-    border = np.searchsorted(shard, np.arange(shards + 1))
+    """One row per shard of the context, or of the word where there is none."""
+    shard = _shard(_context_of(list(entries[: max(level - 1, 1)])), shards)
+    order = np.argsort(shard, kind="stable")
+    border = np.searchsorted(shard[order], np.arange(shards + 1))
     used = [k for k in range(shards) if border[k] < border[k + 1]]
-    columns = [[level] * len(used), used, [_to_bytes(level, entries[border[k] : border[k + 1]]) for k in used]] + [[0] * len(used)] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _FIELDS)
+    return _batch(level, used, [_to_bytes(entries[:, order[border[k] : border[k + 1]]], level) for k in used])
 
 
-def _counting(order: int, shards: int):
-    width = max(order - 1, 1) + 3
+def _flushing(level: int, words: int, shards: int, entries_of, pack):
+    """Tasks that gather what ``entries_of`` makes of each slice of texts, and pack it when there is enough."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        read, held, size = entries_of(), [], 0
         for batch in batches:
-            for words in cut(batch.column(0), SPACED):
-                tokens, offsets = _token_rows(words)
-                entries = np.ones((len(tokens), width), _U)
-                for k, context in enumerate(_contexts(tokens, offsets, order)):
-                    entries[:, k] = context
-                if order == 1:
-                    entries[:, 0] = tokens
-                entries[:, -3] = tokens
-                held.append(_reduced(entries))
-                size += len(held[-1])
-            if size >= FLUSH:
-                yield _packed(order, _reduced(np.concatenate(held)), shards)
-                held, size = [], 0
+            for slice_ in cut(batch.column(0), SPACED):
+                held.append(_reduced(read(*_token_rows(slice_)), words))
+                size += held[-1].shape[1]
+                if size >= FLUSH:
+                    yield pack(level, _reduced(np.concatenate(held, axis=1), words), shards)
+                    held, size = [], 0
         if size:
-            yield _packed(order, _reduced(np.concatenate(held)), shards)
+            yield pack(level, _reduced(np.concatenate(held, axis=1), words), shards)
 
     return count
 
 
+def _packed_words(level: int, entries: np.ndarray, shards: int) -> pa.RecordBatch:
+    """One row per shard of the word hashes, which are sorted, as the shards are."""
+    border = np.searchsorted(_shard(entries[0], shards), np.arange(shards + 1))
+    used = [k for k in range(shards) if border[k] < border[k + 1]]
+    return _batch(level, used, [_to_bytes(entries[:, border[k] : border[k + 1]], 1) for k in used])
+
+
+def _groups_of(counts: np.ndarray) -> np.ndarray:
+    """0 for the most frequent words, and so on, by the logarithm of the count."""
+    return _GROUPS - 1 - np.log2(counts.astype(float)).astype(np.int64)
+
+
+def _numbered_words(texts: DataFrame, folder: str, shards: int) -> tuple[int, int]:
+    """Write hashes, occurrences and numbers of all words. Returns how many tokens and different words there are."""
+    spark = texts.sparkSession
+
+    def whole_words():
+        return lambda tokens, offsets: np.stack([tokens, np.ones(len(tokens), _U), np.ones(len(tokens), _U)])
+
+    def merge(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        entries = _reduced(np.concatenate([_from_bytes(b.as_py(), 1) for b in table.column("entries")], axis=1), 1)
+        write_array(f"{folder}/words-{shard}-keys.npy", entries[0])
+        write_array(f"{folder}/words-{shard}-raw.npy", _smallest(entries[-1]))
+        groups = np.bincount(_groups_of(entries[-1]), minlength=_GROUPS)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "sizes": pa.array([groups.tolist()], pa.list_(pa.int64())), "tokens": pa.array([int(entries[-1].sum())], pa.int64())})
+
+    counted = texts.mapInArrow(_flushing(0, 1, shards, whole_words, _packed_words), _PACK)
+    merged = counted.groupBy("shard").applyInArrow(merge, "shard int, sizes array<long>, tokens long").collect()  # a row per shard
+    sizes = np.zeros((shards, _GROUPS), np.int64)
+    for row in merged:
+        sizes[row["shard"]] = row["sizes"]
+    # Numbers begin with 1: all shards' words of the first group, then those of the second.
+    starts = (np.cumsum(sizes.T.ravel()) - sizes.T.ravel()).reshape(_GROUPS, shards) + 1
+
+    def number(batches):
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                groups = _groups_of(map_array(f"{folder}/words-{shard}-raw.npy"))
+                order = np.argsort(groups, kind="stable")
+                numbers = np.empty(len(groups), np.int64)
+                inside = np.arange(len(groups)) - (np.cumsum(sizes[shard]) - sizes[shard])[groups[order]]
+                numbers[order] = starts[groups[order], shard] + inside
+                write_array(f"{folder}/words-{shard}-numbers.npy", _smallest(numbers))
+            yield batch
+
+    used = spark.createDataFrame([(row["shard"],) for row in merged], "shard int")
+    used.repartition(min(shards, max(1, len(merged)))).mapInArrow(number, "shard int").agg(F.count("*")).first()
+    return sum(row["tokens"] for row in merged), int(sizes.sum())
+
+
 def _merging(level: int, order: int, shards: int, folder: str):
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        entries = _reduced(np.concatenate([_from_bytes(level, b.as_py()) for b in table.column("entries")]))
-        counts = entries[:, -1] if level == order else entries[:, -2]
-        keys = entries[:, -3] if level == 1 else _key(entries[:, 0], entries[:, -3])
+        entries = _reduced(np.concatenate([_from_bytes(b.as_py(), level) for b in table.column("entries")], axis=1), level)
+        counts = entries[-1] if level == order else entries[-2]
+        context = _context_of(list(entries[: level - 1])) if level > 1 else None
+        keys = entries[0] if level == 1 else _key(context, entries[level - 1])
         by_key = np.argsort(keys)
         name = f"{folder}/{level}-{shard}"
         write_array(f"{name}-keys.npy", keys[by_key])
         write_array(f"{name}-counts.npy", _smallest(counts[by_key]))
-        if level == 1:
-            write_array(f"{name}-raw.npy", _smallest(entries[by_key, -1]))
-        else:
-            first = np.flatnonzero(np.diff(entries[:, 0], prepend=~entries[:1, 0]))
-            stats = [np.add.reduceat(x.astype(_U), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
-            write_array(f"{name}-contexts.npy", entries[first, 0])
-            write_array(f"{name}-following.npy", _smallest(np.stack(stats, axis=1)))
-        sums = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int(counts.sum()), int(entries[:, -1].sum()), len(entries)]
-        own = [[level], [shard], [b""]] + [[s] for s in sums]
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, _TYPES, strict=True)], _FIELDS)]
         if level > 1:
-            lower = entries[:, 1:].copy() if level > 2 else np.concatenate([entries[:, 1:2], entries[:, 1:]], axis=1)
-            lower[:, -2] = 1
-            batches.append(_packed(level - 1, _reduced(lower), shards))
+            first = np.flatnonzero(_opens(list(entries[: level - 1])))
+            stats = np.stack([np.add.reduceat(x.astype(_U), first) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
+            by_context = np.argsort(context[first])
+            write_array(f"{name}-contexts.npy", context[first][by_context])
+            write_array(f"{name}-following.npy", _smallest(stats[by_context]))
+        sums = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int(counts.sum()), int(entries[-1].sum()), entries.shape[1]]
+        batches = [_batch(level, [shard], [b""], sums)]
+        if level > 1:
+            lower = entries[1:].copy()
+            lower[-2] = 1
+            batches.append(_packed(level - 1, _reduced(lower, level - 1), shards))
         return pa.Table.from_batches(batches)
 
     return merge
@@ -215,17 +294,71 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> NgramMode
     model in which every token has probability 1 / (V + 1) with V = 0.
     """
     spark = texts.sparkSession
-    folder, shards = shared_folder(spark, "ngrams"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    level = texts.select(F.col(text)).mapInArrow(_counting(order, shards), _PACK)
-    totals = {}
+    folder, least = shared_folder(spark, "ngrams"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.select(F.col(text))
+    # Bytes are at least twice the tokens, or so, and the words are fewer still.
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    word_shards = max(least, size // 16 // SHARD_WORDS)
+    tokens, vocabulary = _numbered_words(texts, folder, word_shards)
+    shards = max(least, -(-tokens // SHARD_TOKENS))
+
+    def numbered():
+        words = Words(folder, word_shards)
+
+        def read(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+            numbers = words.numbers(hashes)
+            # The contexts' words: order - 1 places back, and so on down to one.
+            place = np.arange(len(numbers)) - np.repeat(offsets[:-1], np.diff(offsets))
+            rows = [np.where(place < back, _START, np.roll(numbers, back)) for back in range(order - 1, 0, -1)]
+            return np.stack([*rows, numbers, np.ones(len(numbers), _U), np.ones(len(numbers), _U)])
+
+        return read
+
+    level, totals = texts.mapInArrow(_flushing(order, order, shards, numbered, _packed), _PACK), {}
     for n in range(order, 0, -1):
-        merged = level.where(F.col("level") == n).groupBy("shard").applyInArrow(_merging(n, order, shards, folder), _PACK)
-        level = materialised(merged)
+        sent = level.where((F.col("level") == n) & (F.length("entries") > 0))
+        sent.groupBy("shard").applyInArrow(_merging(n, order, shards, folder), _PACK).write.parquet(f"{folder}/level-{n}")
+        level = spark.read.parquet(f"{folder}/level-{n}")
         totals[n] = [x or 0 for x in level.where((F.col("level") == n) & (F.length("entries") == 0)).agg(*map(F.sum, _FIELDS[3:])).first()]
+        if n < order:
+            delete_folder(spark, f"{folder}/level-{n + 1}")
     discounts = tuple(Discounts.of(*totals[n][:4]) for n in range(1, order + 1))
-    n1, n2, _, _, total, raw, kinds = totals[1]
+    n1, n2, _, _, total, _, kinds = totals[1]
     backoff = discounts[0].one * n1 + discounts[0].two * n2 + discounts[0].more * (kinds - n1 - n2)
-    return NgramModel(folder, order, shards, discounts, total, float(backoff), raw, kinds)
+    return NgramModel(folder, order, shards, word_shards, discounts, total, float(backoff), tokens, vocabulary)
+
+
+class Words:
+    """Numbers and occurrences of words, from mapped arrays."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+        self.array = lru_cache(maxsize=None)(self._array)
+
+    def _array(self, shard: int, name: str) -> np.ndarray | None:
+        try:
+            return map_array(f"{self.folder}/words-{shard}-{name}.npy")
+        except FileNotFoundError:  # no word fell into the shard
+            return None
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and occurrences of sorted, different word hashes."""
+        numbers, raw = np.full(len(hashes), _UNKNOWN), np.zeros(len(hashes))
+        border = np.searchsorted(_shard(hashes, self.shards), np.arange(self.shards + 1))
+        for k in np.flatnonzero(np.diff(border)).tolist():
+            known = self.array(k, "keys")
+            if known is None:
+                continue
+            here = slice(border[k], border[k + 1])
+            place = np.minimum(np.searchsorted(known, hashes[here]), len(known) - 1)
+            hit = known[place] == hashes[here]
+            numbers[here] = np.where(hit, self.array(k, "numbers")[place], _UNKNOWN)
+            raw[here] = np.where(hit, self.array(k, "raw")[place], 0)
+        return numbers, raw
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        words, back = np.unique(hashes, return_inverse=True)
+        return self.look_up(words)[0][back]
 
 
 class Tables:
@@ -233,6 +366,7 @@ class Tables:
 
     def __init__(self, model: NgramModel):
         self.model = model
+        self.words = Words(model.folder, model.word_shards)
         self.array = lru_cache(maxsize=None)(self._array)
 
     def _array(self, level: int, shard: int, name: str) -> np.ndarray | None:
@@ -263,10 +397,12 @@ class Tables:
         return [np.zeros((len(keys), *width.get(n, ()))) if f is None else f for n, f in zip(names, found, strict=True)]
 
     def score(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences in training and the model's probability of each token."""
+        """Occurrences in training and the model's probability of each token, given as word hashes."""
         model = self.model
-        words, back = np.unique(tokens, return_inverse=True)
-        counts, raw = self.look_up(1, _shard(words, model.shards), words, "keys", ["counts", "raw"])
+        hashes, back = np.unique(tokens, return_inverse=True)
+        words, raw = self.words.look_up(hashes)
+        (counts,) = self.look_up(1, _shard(_context_of([words]), model.shards), words, "keys", ["counts"])
+        tokens = words[back]
         total = max(model.continuations, 1)
         lowest = (counts - model.discounts[0].taken(counts)) / total
         rest = model.backoff / total if model.continuations else 1.0

@@ -26,6 +26,12 @@ def materialised(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder that this run made and no longer reads, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
     return parts.path if parts.scheme in ("", "file") else None
