@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cardtide.fixed_values import (
@@ -63,64 +67,63 @@ def shifted(features: DataFrame) -> DataFrame:
     )
 
 
-def _long(features: DataFrame, side: str) -> DataFrame:
-    """(feature, number, word, n) with one row per distinct value, combined before the shuffle."""
-    cells = [
-        F.struct(
-            F.lit(name).alias("feature"),
-            F.col(name).cast("double").alias("number") if name in NUMERIC_FEATURES
-            else F.lit(None).cast("double").alias("number"),
-            F.col(name).cast("string").alias("word") if name in CATEGORICAL_FEATURES
-            else F.lit(None).cast("string").alias("word"),
-        )
-        for name in FEATURES
-    ]
-    return (
-        features.select(F.inline(F.array(*cells)))
-        .filter(F.col("number").isNotNull() | F.col("word").isNotNull())
-        .groupBy("feature", "number", "word")
-        .agg(F.count("*").alias(side))
-    )
+_COUNTS = "feature string, number double, word string, reference_n bigint, current_n bigint"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values of each feature and how often each side has them, column by column of a batch. The last column is the side."""
+    kinds = [pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
+    names = [part.split(" ")[0] for part in _COUNTS.split(", ")]
+    for batch in batches:
+        sides = batch.column(batch.num_columns - 1)
+        for feature, column in zip(batch.schema.names[:-1], batch.columns[:-1]):
+            for k, side in enumerate((sides, pc.invert(sides))):
+                found = column.filter(side).drop_null().value_counts()
+                if not len(found):
+                    continue
+                values, counts = found.field(0), found.field(1)
+                empty = pa.nulls(len(found), kinds[1 + (feature in NUMERIC_FEATURES)])
+                zeros = pa.array(np.zeros(len(found), np.int64))
+                both = [values, empty] if feature in NUMERIC_FEATURES else [empty, values]
+                columns = [pa.array([feature] * len(found)), *both, *([counts, zeros] if k == 0 else [zeros, counts])]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds)], names)
 
 
 def _value_counts(reference: DataFrame, current: DataFrame) -> DataFrame:
-    left = _long(reference, "reference_n").withColumn("current_n", F.lit(0).cast("bigint"))
-    right = _long(current, "current_n").withColumn("reference_n", F.lit(0).cast("bigint"))
-    return left.unionByName(right).groupBy("feature", "number", "word").agg(
+    """One row per feature and different value. Both sides are one tagged scan, counted batch by batch where it is read, so
+    only different values are shuffled and no row is multiplied by the number of features."""
+
+    def side(rows: DataFrame, is_reference: bool) -> DataFrame:
+        cells = [F.col(name).cast("double" if name in NUMERIC_FEATURES else "string").alias(name) for name in FEATURES]
+        return rows.select(*cells, F.lit(is_reference).alias("_side"))
+
+    tagged = side(reference, True).unionByName(side(current, False))
+    return tagged.mapInArrow(_counted, _COUNTS).groupBy("feature", "number", "word").agg(
         F.sum("reference_n").alias("reference_n"), F.sum("current_n").alias("current_n")
     )
 
 
 def _totals(counts: DataFrame) -> DataFrame:
-    """Per feature: row counts, reference moments and the number of distinct reference values."""
-    n, x = F.col("reference_n"), F.col("number")
+    """Per feature: row counts, the reference's mean and the number of different values."""
+    n = F.col("reference_n")
     return (
         counts.groupBy("feature")
         .agg(
             F.sum(n).alias("reference_rows"),
             F.sum("current_n").alias("current_rows"),
-            F.count_if(n > 0).alias("reference_values"),
             F.count_if((n > 0) | (F.col("current_n") > 0)).alias("all_values"),
-            F.sum(n * x).alias("_sum"),
-            F.sum(n * x * x).alias("_squares"),
-        )
-        .withColumn("_mean", F.try_divide(F.col("_sum"), F.col("reference_rows")))
-        .withColumn(
-            "reference_stddev",
-            F.sqrt(
-                F.greatest(
-                    F.try_divide(F.col("_squares"), F.col("reference_rows")) - F.col("_mean") * F.col("_mean"), F.lit(0.0)
-                )
-            ),
+            F.sum(n * F.col("number")).alias("_sum"),
         )
-        .drop("_sum", "_squares", "_mean")
+        .withColumn("reference_mean", F.try_divide(F.col("_sum"), F.col("reference_rows")))
+        .drop("_sum")
     )
 
 
 def _value_distances(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Jensen-Shannon distance (natural logarithm) and chi-square statistic over distinct values."""
-    p = F.col("reference_n") / F.col("reference_rows")
-    q = F.col("current_n") / F.col("current_rows")
+    """Jensen-Shannon distance (natural logarithm), chi-square statistic and the reference's spread over distinct values."""
+    # A side without any value of the feature has no shares, and the feature no distances.
+    p = F.try_divide("reference_n", "reference_rows")
+    q = F.try_divide("current_n", "current_rows")
     middle = (p + q) / 2
 
     def term(share: Column) -> Column:
@@ -128,17 +131,19 @@ def _value_distances(counts: DataFrame, totals: DataFrame) -> DataFrame:
 
     expected = p * F.col("current_rows")
     surprise = F.when(F.col("reference_n") == 0, F.lit(float("inf"))).otherwise(
-        F.pow(F.col("current_n") - expected, 2) / expected
+        F.try_divide(F.pow(F.col("current_n") - expected, 2), expected)
     )
     key = F.struct("number", "word")
     return (
         counts.join(F.broadcast(totals), "feature")
         .groupBy("feature")
         .agg(
-            F.sqrt(F.greatest(F.sum(term(p) / 2 + term(q) / 2), F.lit(0.0))).alias("js_distance"),
+            F.sqrt(F.when(F.sum(term(p) / 2 + term(q) / 2) < 0, 0.0).otherwise(F.sum(term(p) / 2 + term(q) / 2))).alias("js_distance"),
             F.sum(surprise).alias("chi_square"),
             F.max_by(p, key).alias("reference_share"),
             F.max_by(q, key).alias("current_share"),
+            # From centred values, so that a large mean costs no digits.
+            F.sqrt(F.sum(p * F.pow(F.col("number") - F.col("reference_mean"), 2))).alias("reference_stddev"),
         )
     )
 
@@ -149,17 +154,18 @@ def _cumulative_distances(counts: DataFrame, totals: DataFrame) -> DataFrame:
     ordered = running_totals(
         numeric, "number", ["reference_n", "current_n"], by=["feature"], previous="previous_number"
     )
-    p_before = F.col("reference_n_before") / F.col("reference_rows")
-    q_before = F.col("current_n_before") / F.col("current_rows")
-    p_at = (F.col("reference_n_before") + F.col("reference_n")) / F.col("reference_rows")
-    q_at = (F.col("current_n_before") + F.col("current_n")) / F.col("current_rows")
+    p_before = F.try_divide("reference_n_before", "reference_rows")
+    q_before = F.try_divide("current_n_before", "current_rows")
+    p_at = F.try_divide(F.col("reference_n_before") + F.col("reference_n"), F.col("reference_rows"))
+    q_at = F.try_divide(F.col("current_n_before") + F.col("current_n"), F.col("current_rows"))
     # Between the previous value and this one both shares are constant.
     step = F.abs(p_before - q_before) * (F.col("number") - F.col("previous_number"))
     return (
         ordered.join(F.broadcast(totals), "feature")
         .groupBy("feature")
         .agg(
-            F.coalesce(F.sum(step), F.lit(0.0)).alias("wasserstein"),
+            # One value alone has no step.
+            F.when((F.min("reference_rows") > 0) & (F.min("current_rows") > 0), F.coalesce(F.sum(step), F.lit(0.0))).alias("wasserstein"),
             F.max(F.abs(p_at - q_at)).alias("ks_distance"),
         )
     )
@@ -202,14 +208,12 @@ def _p_value(test, statistic, reference_rows, current_rows, values):  # type: ig
     return pd.Series([tail(*row) for row in rows], dtype="float64")
 
 
-def drift_features(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """One row per feature: the test its size and type call for, its score and the verdict.
+DISTANCES = ("wasserstein", "jensen_shannon")
+TESTS = (*DISTANCES, "ks", "chi_square", "z")
 
-    More than 1000 reference rows: Wasserstein distance over the reference's standard deviation for
-    numeric features with more than five distinct values, else Jensen-Shannon distance; drift at
-    0.1. Smaller references: Kolmogorov-Smirnov, chi-square or two-proportion z test; drift below
-    p = 0.05. The Kolmogorov p-value is the asymptotic one.
-    """
+
+def _compared(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """One row per feature with every statistic that it has."""
     counts = checkpointed(_value_counts(reference, current))
     # Twelve rows: one per feature.
     totals = _totals(counts)
@@ -217,8 +221,53 @@ def drift_features(reference: DataFrame, current: DataFrame) -> DataFrame:
         totals.join(F.broadcast(_value_distances(counts, totals)), "feature")
         .join(F.broadcast(_cumulative_distances(counts, totals)), "feature", "left")
     )
-    large = F.col("reference_rows") > DRIFT_SMALL_SAMPLE
-    ordinal = F.col("feature").isin(NUMERIC_FEATURES) & (F.col("all_values") > DRIFT_FEW_VALUES)
+    rows = F.col("reference_rows") + F.col("current_rows")
+    pooled = (F.col("reference_share") * F.col("reference_rows") + F.col("current_share") * F.col("current_rows")) / rows
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "reference_rows") + F.try_divide(F.lit(1), "current_rows")))
+    two_shares = F.coalesce(F.try_divide(F.col("reference_share") - F.col("current_share"), spread), F.lit(0.0))
+    return table.withColumns(
+        {
+            "_wasserstein": F.col("wasserstein") / F.greatest("reference_stddev", F.lit(0.001)),
+            "_jensen_shannon": F.col("js_distance"),
+            "_ks": F.col("ks_distance"),
+            "_chi_square": F.col("chi_square"),
+            "_z": F.when(F.col("all_values") <= 2, two_shares),
+        }
+    )
+
+
+def drift_statistics(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """Every statistic of every feature it fits: distances between distributions for numbers, between shares for words and
+    for numbers of few values, the two-share z for at most two values."""
+    table = _compared(reference, current)
+    number = F.col("feature").isin(NUMERIC_FEATURES)
+    few = ~number | (F.col("all_values") <= DRIFT_FEW_VALUES)
+    fits = {"wasserstein": number, "ks": number, "jensen_shannon": few, "chi_square": few, "z": F.col("all_values") <= 2}
+    listed = F.array(*[F.when(fits[name], F.struct(F.lit(name).alias("test"), F.col(f"_{name}").alias("statistic"))) for name in TESTS])
+    return table.select("feature", F.inline(F.array_compact(listed)))
+
+
+def drift_features(
+    reference: DataFrame,
+    current: DataFrame,
+    method: str | dict[str, str] | None = None,
+    small_sample: int = DRIFT_SMALL_SAMPLE,
+    few_values: int = DRIFT_FEW_VALUES,
+) -> DataFrame:
+    """One row per feature: its test, the test's score and the verdict.
+
+    ``method`` names the test for all features or for each; features without one get the published default. With more than
+    ``small_sample`` reference rows that is the Wasserstein distance over the reference's standard deviation for numbers
+    of more than ``few_values`` values, else the Jensen-Shannon distance; drift at 0.1. With fewer rows it is
+    Kolmogorov-Smirnov, chi-square or two-proportion z; drift below p = 0.05. The Kolmogorov p-value is the asymptotic one.
+    """
+    wanted = {name: method for name in FEATURES} if isinstance(method, str) else dict(method or {})
+    unknown = sorted(set(wanted.values()) - set(TESTS)) + sorted(set(wanted) - set(FEATURES))
+    if unknown:
+        raise ValueError(f"unknown drift methods or features: {unknown}")
+    table = _compared(reference, current)
+    large = F.col("reference_rows") > small_sample
+    ordinal = F.col("feature").isin(NUMERIC_FEATURES) & (F.col("all_values") > few_values)
     test = (
         F.when(large & ordinal, "wasserstein")
         .when(large, "jensen_shannon")
@@ -226,26 +275,20 @@ def drift_features(reference: DataFrame, current: DataFrame) -> DataFrame:
         .when(F.col("all_values") > 2, "chi_square")
         .otherwise("z")
     )
-    pooled = (
-        F.col("reference_share") * F.col("reference_rows") + F.col("current_share") * F.col("current_rows")
-    ) / (F.col("reference_rows") + F.col("current_rows"))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("reference_rows") + 1 / F.col("current_rows")))
-    z = F.coalesce(F.try_divide(F.col("reference_share") - F.col("current_share"), spread), F.lit(0.0))
-    statistic = (
-        F.when(test == "ks", F.col("ks_distance")).when(test == "chi_square", F.col("chi_square")).when(test == "z", z)
-    )
-    scored = table.withColumns({"test": test, "_statistic": statistic})
-    distance = F.when(
-        F.col("test") == "wasserstein", F.col("wasserstein") / F.greatest("reference_stddev", F.lit(0.001))
-    ).when(F.col("test") == "jensen_shannon", F.col("js_distance"))
+    for name, chosen in wanted.items():
+        test = F.when(F.col("feature") == name, chosen).otherwise(test)
+    table = table.withColumn("test", test)
+    statistic = F.coalesce(*[F.when(F.col("test") == name, F.col(f"_{name}")) for name in TESTS])
+    scored = table.withColumn("_statistic", statistic)
+    distance = F.col("test").isin(*DISTANCES)
     p_value = _p_value("test", "_statistic", "reference_rows", "current_rows", "all_values")
     return (
-        scored.withColumn("score", F.when(large, distance).otherwise(p_value))
+        scored.withColumn("score", F.when(distance, F.col("_statistic")).otherwise(p_value))
         .withColumns(
             {
-                "threshold": F.when(large, F.lit(DRIFT_DISTANCE_LIMIT)).otherwise(F.lit(DRIFT_P_LIMIT)),
+                "threshold": F.when(distance, F.lit(DRIFT_DISTANCE_LIMIT)).otherwise(F.lit(DRIFT_P_LIMIT)),
                 "drifted": F.coalesce(
-                    F.when(large, F.col("score") >= DRIFT_DISTANCE_LIMIT).otherwise(F.col("score") < DRIFT_P_LIMIT),
+                    F.when(distance, F.col("score") >= DRIFT_DISTANCE_LIMIT).otherwise(F.col("score") < DRIFT_P_LIMIT),
                     F.lit(False),
                 ),
             }

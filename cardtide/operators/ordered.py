@@ -6,13 +6,54 @@ pre-aggregated values, total each range, and add the totals of the earlier range
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cardtide.session import checkpointed
 
 
+def _scan(names: list[str], by: list[str], order: str, sums: list[str], previous: str | None):
+    """A pass over one sorted range: totals before each row of its group, and the group's previous order value."""
+
+    def changes(batch: pa.RecordBatch, last: tuple | None) -> np.ndarray:
+        """Where a group begins. The first row is compared with the last one of the batch before."""
+        begins = np.zeros(batch.num_rows, bool)
+        for name in by:
+            codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            begins[1:] |= codes[1:] != codes[:-1]
+        begins[0] = last is None or last != tuple(batch.column(name)[0].as_py() for name in by)
+        return begins
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried, before_value = None, {name: 0 for name in sums}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins, columns = changes(batch, last), list(batch.columns)
+            group = np.maximum.accumulate(np.where(begins, np.arange(batch.num_rows), -1))
+            for name in sums:
+                values = pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(values)
+                earlier = upto - values
+                # Rows before the batch's first border go on with the group of the batch before.
+                before = np.where(group < 0, earlier + carried[name], earlier - earlier[np.maximum(group, 0)])
+                columns.append(pa.array(before, batch.column(name).type))
+                carried[name] = before[-1] + values[-1]
+            if previous:
+                value = batch.column(order)
+                shifted = pa.concat_arrays([pa.array([before_value], value.type), value.slice(0, len(value) - 1)])
+                columns.append(pc.if_else(pa.array(begins), pa.scalar(None, value.type), shifted))
+                before_value = value[len(value) - 1].as_py()
+            last = tuple(batch.column(name)[batch.num_rows - 1].as_py() for name in by)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return scan
+
+
 def running_totals(
     values: DataFrame,
     order: str,
@@ -24,38 +65,38 @@ def running_totals(
     """Add ``<name>_before`` for each of ``sums``: its total over all earlier rows of the group.
 
     With ``previous``, also add a column of that name with the order value of the row before.
-    ``values`` must hold one row per (by, order) value, so that a hot value is one row. The ranges
-    are written once (checkpoint), because a second sampling could cut them differently.
+    ``values`` must hold one row per (by, order) value, so that a hot value is one row; ``sums`` are
+    long or double. The rows are shuffled once, into sorted ranges; each range is scanned as it
+    arrives and written once (checkpoint), because a second sampling could cut them differently.
+    What earlier ranges add is one row per range and group.
     """
     by = by or []
     key = F.col(order).desc() if descending else F.col(order).asc()
-    ranges = checkpointed(
-        values.repartitionByRange(*by, key).withColumn("_range", F.spark_partition_id())
-    )
+    local = [f"{name}_before" for name in sums] + ([previous] if previous else [])
+    kinds = [values.schema[name].dataType for name in sums] + ([values.schema[order].dataType] if previous else [])
+    schema = T.StructType([*values.schema.fields, *(T.StructField(name, kind) for name, kind in zip(local, kinds))])
+    sorted_ranges = values.repartitionByRange(*by, key).sortWithinPartitions(*by, key)
+    scanned = sorted_ranges.mapInArrow(_scan(schema.fieldNames(), by, order, sums, previous), schema)
+    ranges = checkpointed(scanned.withColumn("_range", F.spark_partition_id()))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     last = F.min(order) if descending else F.max(order)
     range_totals = ranges.groupBy(*by, "_range").agg(
         *[F.sum(name).alias(f"_{name}") for name in sums], last.alias("_last")
     )
     # One row per range and group: bounded by the partition count times the number of groups.
     offsets = range_totals.select(
-        *by,
-        "_range",
+        *[F.col(name).alias(f"_by_{name}") for name in by],
+        F.col("_range").alias("_in"),
         *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}_offset") for name in sums],
         F.last("_last").over(earlier).alias("_carried"),
     )
-    extra = []
-    if previous:
-        lagged = F.lag(order).over(Window.partitionBy(*by, "_range").orderBy(key))
-        extra = [F.coalesce(lagged, F.col("_carried")).alias(previous)]
-    return ranges.join(F.broadcast(offsets), [*by, "_range"]).select(
+    here = F.col("_range") == F.col("_in")
+    for name in by:
+        here = here & F.col(name).eqNullSafe(F.col(f"_by_{name}"))
+    return ranges.join(F.broadcast(offsets), here).select(
         *values.columns,
-        *[
-            (F.coalesce(F.sum(name).over(within), F.lit(0)) + F.col(f"_{name}_offset")).alias(f"{name}_before")
-            for name in sums
-        ],
-        *extra,
+        *[(F.col(f"{name}_before") + F.col(f"_{name}_offset")).alias(f"{name}_before") for name in sums],
+        *([F.coalesce(previous, "_carried").alias(previous)] if previous else []),
     )
 
 

@@ -326,6 +326,18 @@ def drift_shifted(spark, folder):
     return presented(drift.drift_features(reference, drift.shifted(current)))
 
 
+def drift_statistics(spark, folder):
+    reference, current = _drift_sides(spark, folder)
+    return presented(drift.drift_statistics(reference, current))
+
+
+def drift_ks(spark, folder):
+    """Every feature by the same test, whatever the sample's size; words have no order and so no score."""
+    reference, current = _drift_sides(spark, folder)
+    found = drift.drift_features(reference, current, "ks")
+    return presented(found.select("feature", "test", "threshold", "reference_rows", "current_rows"))
+
+
 def latest_snapshots(spark, folder):
     rows = drift.latest_snapshots(decision_table(spark, folder))
     return presented(
@@ -603,7 +615,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         daily_kpis_default_window, daily_costs_long, daily_decisions_long, segment_performance,
         merchant_categories, whatif_threshold, threshold_sweep, optimal_thresholds, optimal_global,
         policy_metrics, window_metadata, roc_auc, average_precision, brier_logloss, best_f1,
-        positive_class_weight, drift_features, drift_summary, drift_shifted, latest_snapshots,
+        positive_class_weight, drift_features, drift_summary, drift_shifted, drift_statistics, drift_ks, latest_snapshots,
         model_health, upsert_latest, upsert_explanations, outbox_new, pending_outbox, metrics_10s,
         failure_rate_1m, metric_totals, dataset_profile, dataset_check, dq_reconcile,
         dq_reconcile_labelled, dq_unique, dq_columns, recent_transactions, simulation_rows,

@@ -780,4 +780,17 @@ SELECT feature, {_r('x', 'border')}, {_r('gain', 'gain')}, {_r('-0.06 * gl / (hl
 UNION ALL
 SELECT transaction_id, 'heuristic-v1', 2, explanation_text, {_time("TIMESTAMP '2024-01-25 00:00:00'")}
 FROM explained JOIN scored USING (transaction_id) WHERE customer_ltv_band = 'high'"""),
+    "drift_statistics": _with(*_SC, _drift(False), """
+whole AS (SELECT *, sum(r) OVER (PARTITION BY feature) AS rr, sum(c) OVER (PARTITION BY feature) AS cc FROM word_shares),
+top_share AS (SELECT feature, arg_max(p, x) AS p, arg_max(q, x) AS q, max(rr) AS rr, max(cc) AS cc, count(*) AS n FROM whole GROUP BY 1)""", select=f"""
+SELECT feature, 'wasserstein' AS test, {_r('score', 'statistic')} FROM wasserstein
+UNION ALL SELECT feature, 'wasserstein', {_r('abs(p - q) / greatest(sqrt(p * (1 - p)), 0.001)', 'statistic')} FROM top_share WHERE feature = 'is_night'
+UNION ALL SELECT feature, 'ks', {_r('abs(p - q)', 'statistic')} FROM top_share WHERE feature = 'is_night'
+UNION ALL SELECT feature, 'ks', {_r('max(abs(fr - fc))', 'statistic')} FROM shares GROUP BY 1
+UNION ALL SELECT feature, 'jensen_shannon', {_r('score', 'statistic')} FROM js
+UNION ALL SELECT feature, 'chi_square', {_r('sum((c - p * cc) * (c - p * cc) / (p * cc))', 'statistic')} FROM whole GROUP BY 1
+UNION ALL SELECT feature, 'z', {_r('(p - q) / sqrt((p * rr + q * cc) / (rr + cc) * (1 - (p * rr + q * cc) / (rr + cc)) * (1 / rr + 1 / cc))', 'statistic')}
+  FROM top_share WHERE n <= 2"""),
+    "drift_ks": _with(*_SC, _drift(False), select="""SELECT feature, 'ks' AS test, CAST(0.05 AS DOUBLE) AS threshold,
+  CAST(reference_rows AS BIGINT) AS reference_rows, CAST(current_rows AS BIGINT) AS current_rows FROM drift"""),
 }
