@@ -9,7 +9,8 @@ once per task. There are as many shards as the number of tokens asks for. Scorin
 arrays and look up the distinct n-grams of a slice of texts, shard by shard. The driver sees totals only.
 
 Files: for each shard of the words, their sorted hashes, occurrences and numbers; for each order n and shard, sorted hashes
-of (context, word) with counts, and of contexts with their total and how many words follow once, twice and more often.
+of contexts with their total and how many words follow once, twice and more often, and (place of the context, word) with
+counts. What is shuffled is freed as soon as a step has written its result.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cardtide.llm.shared import delete_folder, map_array, shared_folder, write_array
+from cardtide.llm.shared import delete_folder, map_array, shared_folder, shuffles_freed, write_array
 from cardtide.llm.words import SPACED, cut, mix
 
 ORDER = 3
@@ -37,6 +38,9 @@ _START, _UNKNOWN = _U(0), _U(1 << 63)
 #: Hash of the end token, and the empty context.
 _END, _NONE = _U(0x454E), _U(1)
 _STEP = _U(0xA24BAED4963EE407)
+#: A key is the place of the context among its shard's, and the word's number in these bits.
+_WORD_BITS = _U(36)
+_NO_WORD = _U((1 << 36) - 1)
 _PACK = "level int, shard int, entries binary, n1 long, n2 long, n3 long, n4 long, total long, raw long, kinds long"
 _FIELDS = [part.split(" ")[0] for part in _PACK.split(", ")]
 _TYPES = [pa.int32(), pa.int32(), pa.binary()] + [pa.int64()] * 7
@@ -105,10 +109,6 @@ def _shard(values: np.ndarray, shards: int) -> np.ndarray:
     return ((values >> _U(40)).astype(np.int64) * shards) >> 24
 
 
-def _key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * _STEP + word)
-
-
 def _context_of(columns: list[np.ndarray]) -> np.ndarray:
     """Hash of a context from its words, first to last, as ``_contexts`` has it."""
     total = np.full(len(columns[0]), _NONE, _U)
@@ -131,9 +131,24 @@ def _opens(columns: list[np.ndarray]) -> np.ndarray:
     return opens
 
 
+def _order(columns: np.ndarray) -> np.ndarray:
+    """The order of rows by all columns. Columns whose bits fit into one number are sorted as one."""
+    keys: list[np.ndarray] = []
+    room = 0
+    for column in columns:
+        bits = max(1, int(column.max(initial=0)).bit_length())
+        if keys and bits <= room:
+            keys[-1] = (keys[-1] << _U(bits)) | column
+        else:
+            keys.append(column)
+            room = 64
+        room -= bits
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
 def _reduced(entries: np.ndarray, words: int) -> np.ndarray:
     """Sort the n-grams and sum the counts of equal ones. Rows: the words in order, continuations, occurrences."""
-    entries = entries[:, np.lexsort(entries[:words][::-1])]
+    entries = entries[:, _order(entries[:words])]
     first = np.flatnonzero(_opens(list(entries[:words])))
     out = entries[:, first]
     if len(first):
@@ -197,7 +212,7 @@ def _flushing(level: int, words: int, shards: int, entries_of, pack):
         read, held, size = entries_of(), [], 0
         for batch in batches:
             for slice_ in cut(batch.column(0), SPACED):
-                held.append(_reduced(read(*_token_rows(slice_)), words))
+                held.append(read(*_token_rows(slice_)))
                 size += held[-1].shape[1]
                 if size >= FLUSH:
                     yield pack(level, _reduced(np.concatenate(held, axis=1), words), shards)
@@ -264,18 +279,24 @@ def _merging(level: int, order: int, shards: int, folder: str):
         shard = table.column("shard")[0].as_py()
         entries = _reduced(np.concatenate([_from_bytes(b.as_py(), level) for b in table.column("entries")], axis=1), level)
         counts = entries[-1] if level == order else entries[-2]
-        context = _context_of(list(entries[: level - 1])) if level > 1 else None
-        keys = entries[0] if level == 1 else _key(context, entries[level - 1])
-        by_key = np.argsort(keys)
         name = f"{folder}/{level}-{shard}"
-        write_array(f"{name}-keys.npy", keys[by_key])
-        write_array(f"{name}-counts.npy", _smallest(counts[by_key]))
-        if level > 1:
-            first = np.flatnonzero(_opens(list(entries[: level - 1])))
+        if level == 1:
+            write_array(f"{name}-keys.npy", entries[0])
+            write_array(f"{name}-counts.npy", _smallest(counts))
+        else:
+            opens = _opens(list(entries[: level - 1]))
+            first = np.flatnonzero(opens)
+            context = _context_of(list(entries[: level - 1, first]))
             stats = np.stack([np.add.reduceat(x.astype(_U), first) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
-            by_context = np.argsort(context[first])
-            write_array(f"{name}-contexts.npy", context[first][by_context])
+            by_context = np.argsort(context)
+            write_array(f"{name}-contexts.npy", context[by_context])
             write_array(f"{name}-following.npy", _smallest(stats[by_context]))
+            place = np.empty(len(first), _U)
+            place[by_context] = np.arange(len(first), dtype=_U)
+            keys = (place[np.cumsum(opens) - 1] << _WORD_BITS) | entries[level - 1]
+            by_key = np.argsort(keys)
+            write_array(f"{name}-keys.npy", keys[by_key])
+            write_array(f"{name}-counts.npy", _smallest(counts[by_key]))
         sums = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int(counts.sum()), int(entries[-1].sum()), entries.shape[1]]
         batches = [_batch(level, [shard], [b""], sums)]
         if level > 1:
@@ -294,6 +315,11 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> NgramMode
     model in which every token has probability 1 / (V + 1) with V = 0.
     """
     spark = texts.sparkSession
+    with shuffles_freed(spark):
+        return _trained(spark, texts, text, order)
+
+
+def _trained(spark: SparkSession, texts: DataFrame, text: str, order: int) -> NgramModel:
     folder, least = shared_folder(spark, "ngrams"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select(F.col(text))
     # Bytes are at least twice the tokens, or so, and the words are fewer still.
@@ -314,6 +340,8 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> NgramMode
 
         return read
 
+    if vocabulary >= int(_NO_WORD) - 1:
+        raise ValueError("more different words than a key has room for")
     level, totals = texts.mapInArrow(_flushing(order, order, shards, numbered, _packed), _PACK), {}
     for n in range(order, 0, -1):
         sent = level.where((F.col("level") == n) & (F.length("entries") > 0))
@@ -375,49 +403,72 @@ class Tables:
         except FileNotFoundError:  # no n-gram fell into the shard
             return None
 
-    def look_up(self, level: int, shard: np.ndarray, keys: np.ndarray, index: str, names: list[str]) -> list[np.ndarray]:
-        """Rows of the named arrays for keys that are in the index, else zeros."""
-        order = np.lexsort((keys, shard))
-        ordered, border = keys[order], np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        found: list = [None] * len(names)
+    def continuations(self, words: np.ndarray) -> np.ndarray:
+        """Continuation counts of different words."""
+        shard, counts = _shard(_context_of([words]), self.model.shards), np.zeros(len(words))
+        order = np.argsort(shard, kind="stable")
+        border = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
         for k in np.flatnonzero(np.diff(border)).tolist():
-            known = self.array(level, k, index)
-            if known is None or not len(known):
+            known = self.array(1, k, "keys")
+            if known is None:
                 continue
             here = order[border[k] : border[k + 1]]
-            wanted = ordered[border[k] : border[k + 1]]
-            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            hit = known[place] == wanted
-            for at, name in enumerate(names):
-                values = self.array(level, k, name)
-                if found[at] is None:
-                    found[at] = np.zeros((len(keys), *values.shape[1:]))
-                found[at][here[hit]] = values[place[hit]]
-        width = {"following": (4,)}
-        return [np.zeros((len(keys), *width.get(n, ()))) if f is None else f for n, f in zip(names, found, strict=True)]
+            place = np.minimum(np.searchsorted(known, words[here]), len(known) - 1)
+            counts[here] = np.where(known[place] == words[here], self.array(1, k, "counts")[place], 0)
+        return counts
+
+    def seen(self, level: int, context: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is known of each context (total, kinds that follow once, twice, more often) and each n-gram's count.
+
+        Tokens are ordered by context, as the shards and the arrays in them are, so searches go through these in order.
+        """
+        order = np.argsort(context)
+        ordered = context[order]
+        opens = _opens([ordered])
+        first = np.flatnonzero(opens)
+        distinct, which = ordered[first], np.cumsum(opens) - 1
+        follow, seen = np.zeros((len(distinct), 4)), np.zeros(len(context))
+        border = np.searchsorted(_shard(distinct, self.model.shards), np.arange(self.model.shards + 1))
+        ends = np.append(first, len(context))[border]
+        for k in np.flatnonzero(np.diff(border)).tolist():
+            known = self.array(level, k, "contexts")
+            if known is None:
+                continue
+            here = slice(border[k], border[k + 1])
+            place = np.minimum(np.searchsorted(known, distinct[here]), len(known) - 1)
+            hit = known[place] == distinct[here]
+            follow[here][hit] = self.array(level, k, "following")[place[hit]]
+            tokens = slice(ends[k], ends[k + 1])
+            inside = which[tokens] - border[k]
+            usable = np.flatnonzero(hit[inside])
+            at = order[tokens][usable]
+            # A word without a number is in no n-gram; its number has a bit that no key has.
+            wanted = (place[inside[usable]].astype(_U) << _WORD_BITS) | np.minimum(words[at], _NO_WORD)
+            keys = self.array(level, k, "keys")
+            found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            match = keys[found] == wanted
+            seen[at[match]] = self.array(level, k, "counts")[found[match]]
+        where = np.empty(len(context), np.int64)
+        where[order] = which
+        return follow[where], seen
 
     def score(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences in training and the model's probability of each token, given as word hashes."""
         model = self.model
         hashes, back = np.unique(tokens, return_inverse=True)
         words, raw = self.words.look_up(hashes)
-        (counts,) = self.look_up(1, _shard(_context_of([words]), model.shards), words, "keys", ["counts"])
+        counts = self.continuations(words)
         tokens = words[back]
         total = max(model.continuations, 1)
         lowest = (counts - model.discounts[0].taken(counts)) / total
         rest = model.backoff / total if model.continuations else 1.0
         probability = (lowest + rest / (model.vocabulary + 1))[back]
-        contexts = _contexts(tokens, offsets, model.order)[::-1]
-        for n, context in enumerate(contexts, 2):
+        for n, context in enumerate(_contexts(tokens, offsets, model.order)[::-1], 2):
             discount = model.discounts[n - 1]
-            distinct, where = np.unique(context, return_inverse=True)
-            (follow,) = self.look_up(n, _shard(distinct, model.shards), distinct, "contexts", ["following"])
+            follow, seen = self.seen(n, context, tokens)
             totals = np.maximum(follow[:, 0], 1)
             spread = np.where(follow[:, 0] > 0, follow[:, 1:] @ np.array(discount) / totals, 1.0)
-            keys, first, again = np.unique(_key(context, tokens), return_index=True, return_inverse=True)
-            (seen,) = self.look_up(n, _shard(context[first], model.shards), keys, "keys", ["counts"])
-            own = (seen - discount.taken(seen))[again] / totals[where]
-            probability = own + spread[where] * probability
+            probability = (seen - discount.taken(seen)) / totals + spread * probability
         return raw[back], probability
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -26,6 +27,22 @@ def materialised(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Inside, an action's shuffle files are removed when it ends, and not when the driver next collects garbage. For steps
+    that write their results, which later steps read instead of the shuffle."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def delete_folder(spark: SparkSession, uri: str) -> None:
     """Delete a folder that this run made and no longer reads, in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
