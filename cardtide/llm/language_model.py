@@ -21,9 +21,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cardtide.llm.shared import delete_folder, map_array, shared_folder, shuffles_freed, write_array
+from cardtide.llm.shared import delete_folder, free_shuffles, map_array, shared_folder, write_array
 from cardtide.llm.words import SPACED, cut, mix
 
 ORDER = 3
@@ -315,17 +315,13 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> NgramMode
     model in which every token has probability 1 / (V + 1) with V = 0.
     """
     spark = texts.sparkSession
-    with shuffles_freed(spark):
-        return _trained(spark, texts, text, order)
-
-
-def _trained(spark: SparkSession, texts: DataFrame, text: str, order: int) -> NgramModel:
     folder, least = shared_folder(spark, "ngrams"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select(F.col(text))
     # Bytes are at least twice the tokens, or so, and the words are fewer still.
     size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
     word_shards = max(least, size // 16 // SHARD_WORDS)
     tokens, vocabulary = _numbered_words(texts, folder, word_shards)
+    free_shuffles(spark)
     shards = max(least, -(-tokens // SHARD_TOKENS))
 
     def numbered():
@@ -346,10 +342,12 @@ def _trained(spark: SparkSession, texts: DataFrame, text: str, order: int) -> Ng
     for n in range(order, 0, -1):
         sent = level.where((F.col("level") == n) & (F.length("entries") > 0))
         sent.groupBy("shard").applyInArrow(_merging(n, order, shards, folder), _PACK).write.parquet(f"{folder}/level-{n}")
+        del sent, level
         level = spark.read.parquet(f"{folder}/level-{n}")
         totals[n] = [x or 0 for x in level.where((F.col("level") == n) & (F.length("entries") == 0)).agg(*map(F.sum, _FIELDS[3:])).first()]
         if n < order:
             delete_folder(spark, f"{folder}/level-{n + 1}")
+        free_shuffles(spark)
     discounts = tuple(Discounts.of(*totals[n][:4]) for n in range(1, order + 1))
     n1, n2, _, _, total, _, kinds = totals[1]
     backoff = discounts[0].one * n1 + discounts[0].two * n2 + discounts[0].more * (kinds - n1 - n2)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -27,20 +27,14 @@ def materialised(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Inside, an action's shuffle files are removed when it ends, and not when the driver next collects garbage. For steps
-    that write their results, which later steps read instead of the shuffle."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver's JVM next collects garbage, which may be long after. For steps that have written their
+    results, which later steps read instead of the shuffle; drop the step's frames first.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def delete_folder(spark: SparkSession, uri: str) -> None:

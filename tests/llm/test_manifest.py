@@ -65,8 +65,7 @@ EDGE = [
 MANY = [(k * 37 % 1009 - 500, f"text {k}", ["en", "en", "de", None, f"l{k % 11}"][k % 5], f"s{k % 3}", k) for k in range(240)]
 
 
-@pytest.mark.parametrize("arity", [2, 3])
-@pytest.mark.parametrize("rows", [EDGE, MANY, [], EDGE[:1], [(k, "t", "en", "s", 1) for k in range(9)], [(3, "t", "en", "s", 1)] * 40])
+@pytest.mark.parametrize("rows, arity", [(EDGE, 2), (MANY, 3), ([], 2), ([(3, "t", "en", "s", 1)] * 40 + EDGE[:1], 2)])
 def test_manifest_against_a_loop(spark, rows, arity):
     assert reported(spark, rows, arity) == brute(rows, arity)
 
