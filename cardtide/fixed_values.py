@@ -68,9 +68,11 @@ DECLINE_GRID = [
     0.5, 0.525, 0.55, 0.5750000000000001, 0.6, 0.625, 0.65, 0.675, 0.7000000000000001, 0.725, 0.75,
     0.775, 0.8, 0.8250000000000001, 0.85, 0.875, 0.9, 0.95,
 ]
+# Fraud rows that a segment needs for thresholds of its own, decline thresholds of the sweep.
 MIN_SEGMENT_FRAUD = 5
 SWEEP_DECLINES = [x / 100 for x in range(5, 96, 5)]
 
+# Fixed value.
 EARTH_RADIUS_KM = 6371.0088
 
 # Message topics.
@@ -78,6 +80,7 @@ RAW_TOPIC = "txns.raw"
 SCORED_TOPIC = "txns.scored"
 REJECTED_TOPIC = "txns.rejected"
 
+# Fixed value: probability from which a transaction raises an alert.
 HIGH_RISK_THRESHOLD = 0.90
 
 # Dead letters keep only these fields, cut to these lengths.

@@ -29,40 +29,24 @@ def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
     Raising drivers come first and alone; lowering ones are used when none raises. Everything is a
     per-row array expression, so no row is shuffled or exploded.
     """
-    shown = text.shown_values(F.col("feature_snapshot"))
-    rows = computed_once(rows, {"_shown": F.struct(*[value.alias(name) for name, value in shown.items()])})
-
-    def shown_value(feature: Column) -> Column:
-        found = None
-        for name in FEATURES:
-            value = F.col(f"_shown.{name}")
-            found = F.when(feature == name, value) if found is None else found.when(feature == name, value)
-        return found
-
-    named = F.transform(
-        F.coalesce("explanation", F.array().cast(CONTRIBUTIONS_TYPE)),
-        lambda item: F.struct(
-            text.canonical_feature(item["feature"]).alias("feature"), item["contribution"].alias("contribution")
-        ),
-    )
-    rows = computed_once(rows, {"_named": named})
-
     def candidate(item: Column, position: Column) -> Column:
         amount = item["contribution"].cast("double")
         return F.struct(
-            item["feature"].alias("feature"),
-            shown_value(item["feature"]).alias("value"),
+            text.canonical_feature(item["feature"]).alias("feature"),
             F.bround(F.abs(amount), 4).alias("strength"),
             amount.alias("contribution"),
             position.alias("position"),
         )
 
+    rows = computed_once(rows, {"_available": text.available_features(F.col("feature_snapshot"))})
+
     def usable(item: Column) -> Column:
         amount = item["contribution"]
         finite = amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) != float("inf"))
-        return item["feature"].isNotNull() & item["value"].isNotNull() & finite
+        return F.coalesce(F.array_contains("_available", item["feature"]), F.lit(False)) & finite
 
-    rows = computed_once(rows, {"_items": F.filter(F.transform("_named", candidate), usable)})
+    given = F.coalesce("explanation", F.array().cast(CONTRIBUTIONS_TYPE))
+    rows = computed_once(rows, {"_items": F.filter(F.transform(given, candidate), usable)})
     items = F.col("_items")
 
     def strongest(item: Column) -> Column:
@@ -83,6 +67,15 @@ def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
 
     ranked = F.transform(F.array_sort(F.transform(F.filter(items, strongest), keyed)), lambda pair: pair["item"])
     rows = computed_once(rows, {"_ranked": ranked})
+    # Only what is chosen is put into words.
+    shown = text.shown_values(F.col("feature_snapshot"))
+
+    def shown_value(feature: Column) -> Column:
+        found = None
+        for name, value in shown.items():
+            found = F.when(feature == name, value) if found is None else found.when(feature == name, value)
+        return found
+
     raising = F.filter("_ranked", lambda item: item["contribution"] > 0)
     chosen = F.slice(F.when(F.size(raising) > 0, raising).otherwise(F.col("_ranked")), 1, limit)
     drivers = F.transform(
@@ -90,12 +83,12 @@ def with_risk_drivers(rows: DataFrame, limit: int = 3) -> DataFrame:
         lambda item: F.struct(
             item["feature"].alias("feature"),
             text.feature_label(item["feature"]).alias("label"),
-            item["value"].alias("value"),
+            shown_value(item["feature"]).alias("value"),
             F.when(item["contribution"] > 0, "raised risk").otherwise("lowered risk").alias("effect"),
             item["strength"].alias("strength"),
         ),
     )
-    return computed_once(rows, {"drivers": drivers}).drop("_shown", "_named", "_items", "_ranked")
+    return computed_once(rows, {"drivers": drivers}).drop("_available", "_items", "_ranked")
 
 
 def template_explanations(rows: DataFrame) -> DataFrame:

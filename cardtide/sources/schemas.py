@@ -1,4 +1,4 @@
-"""Table and message schemas. Nothing is inferred."""
+"""Table and message schemas. Nothing is inferred. Column names, types, precisions and scales are fixed values."""
 
 from __future__ import annotations
 

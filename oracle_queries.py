@@ -793,4 +793,48 @@ UNION ALL SELECT feature, 'z', {_r('(p - q) / sqrt((p * rr + q * cc) / (rr + cc)
   FROM top_share WHERE n <= 2"""),
     "drift_ks": _with(*_SC, _drift(False), select="""SELECT feature, 'ks' AS test, CAST(0.05 AS DOUBLE) AS threshold,
   CAST(reference_rows AS BIGINT) AS reference_rows, CAST(current_rows AS BIGINT) AS current_rows FROM drift"""),
+    "card_csv": _with(RAW, select=f"""SELECT trans_num, {_time("date_trunc('second', at_time)")} AS trans_date_trans_time, cc_num, category, {_r('amt', 'amt')},
+  CAST(city_pop AS BIGINT) AS city_pop, CAST(dob AS VARCHAR) AS dob, CAST(is_fraud AS BIGINT) AS is_fraud FROM raw"""),
+    "manifest_check": _with(RAW, select="""
+SELECT 'bad_label' AS "check", count(*) FILTER (WHERE is_fraud IS NULL) AS offending_rows FROM raw
+UNION ALL SELECT 'bad_amount', count(*) FILTER (WHERE amt < 0) FROM raw
+UNION ALL SELECT 'bad_identifier', count(*) FILTER (WHERE trans_num = '') FROM raw
+UNION ALL SELECT 'wrong_row_count', CAST(count(*) <> count(*) + 1 AS BIGINT) FROM raw
+UNION ALL SELECT 'wrong_first_time', count(*) FILTER (WHERE at_time < (SELECT min(at_time) FROM raw)) FROM raw
+UNION ALL SELECT 'wrong_last_time', count(*) FILTER (WHERE at_time > (SELECT max(at_time) FROM raw)) FROM raw"""),
+    "dead_letter_kinds": _with(*_EV, """
+turned AS (SELECT event_id, event_id % 50 AS turn, event_id IN (SELECT event_id FROM issues) AS wrong FROM all_events)""", select="""
+SELECT event_id AS "offset",
+  CASE turn WHEN 1 THEN 'JSONDecodeError' WHEN 3 THEN 'null_payload' WHEN 4 THEN 'UnicodeDecodeError' ELSE 'ValidationError' END AS error_type,
+  CASE turn WHEN 1 THEN 'Invalid JSON at byte offset 1' WHEN 2 THEN '{"validation_issues":[{"type":"model_type","location":[]}]}'
+    WHEN 3 THEN 'Rejected by null_payload' WHEN 4 THEN 'Rejected by UnicodeDecodeError' END AS error_message,
+  CAST(CASE turn WHEN 1 THEN 7 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 11 END AS BIGINT) AS payload_bytes
+FROM turned WHERE turn BETWEEN 1 AND 5 OR wrong"""),
+    "outbound_payloads": _with(*_SC, select=f"""SELECT transaction_id AS message_key, 'txns.scored' AS topic, merchant_category, decision, model_version,
+  {_r('amount', 'amount')}, {_r('fraud_probability', 'fraud_probability')}, {_r('transaction_hour', 'snapshot_hour')}, {_r('amount', 'snapshot_amount')} FROM scored"""),
+    "json_snapshots": _with(*_SC, select=f"""SELECT transaction_id, {_r('full_amount', 'amount')},
+  CAST(CASE WHEN customer_ltv_band <> 'high' THEN customer_age END AS BIGINT) AS customer_age, channel, CAST(is_night AS BIGINT) AS is_night
+FROM stored WHERE customer_ltv_band <> 'low'"""),
+    "score_breaks": _with(*_SC, select="""SELECT merchant_category, count(*) AS broken_rows FROM scored
+WHERE merchant_category IN ('travel', 'home', 'kids_pets', 'misc_net', 'misc_pos') GROUP BY 1"""),
+    "threshold_contract": _with(*_SC, """
+segments AS (SELECT merchant_category, round(avg(fraud_probability), 6) AS verify, count(*) % 3 AS n FROM scored GROUP BY 1)""", select=f"""
+SELECT merchant_category, {_r('verify', 'verify')}, {_r('verify * n', 'decline')}, NOT (verify >= 0 AND verify < verify * n AND verify * n <= 1) AS broken FROM segments"""),
+    "rejected_routing": _with(*_EV, select="""SELECT transaction_id, CAST(1 AS BIGINT) AS dead_letters, CAST(0 AS BIGINT) AS decisions, TRUE AS routed
+FROM all_events WHERE event_id IN (SELECT event_id FROM issues)"""),
+    "ranked_contributions": _with(*_SC, """
+parts AS (
+  SELECT transaction_id, 'amount' AS feature, 0.55 * log_amount AS v FROM scored
+  UNION ALL SELECT transaction_id, 'distance_km', 0.012 * least(distance_km, 200) FROM scored
+  UNION ALL SELECT transaction_id, 'is_night', CAST(0.8 AS DOUBLE) * is_night FROM scored
+)""", select="""SELECT transaction_id, string_agg(feature, ',' ORDER BY v, feature) AS by_value,
+  array_to_string(list(feature ORDER BY abs(v) DESC, feature)[1:2], ',') AS largest FROM parts GROUP BY 1"""),
+    "drift_reference": _with(*_EV, """
+earliest AS (SELECT * FROM featured_all WHERE fraud_label IS NOT NULL ORDER BY event_time, transaction_id LIMIT 500)""", select=f"""
+SELECT count(*) AS row_count, {_r('sum(amount)', 'amount')}, CAST(sum(customer_age) AS BIGINT) AS ages, {_r('max(distance_km)', 'farthest')} FROM earliest"""),
+    "preprocessed": _with(*_EV, "known AS (SELECT * FROM featured_all WHERE fraud_label IS NOT NULL)", select=" UNION ALL ".join(
+        f"SELECT '{name}' AS feature, {_r(f'avg({name})', 'mean')}, {_r(f'stddev_samp({name})', 'deviation')} FROM known" for name in [*NUMERIC, "is_night"])
+        + "".join(f" UNION ALL SELECT '{name}_' || {name}, {_r('CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM known)', 'mean')}, NULL FROM known GROUP BY {name}"
+            for name in ("merchant_category", "channel", "customer_ltv_band"))),
+    "class_windows": _with(*_ST, WINDOWED, select="""SELECT "window", sum(is_fraud) > 0 AND sum(is_fraud) < count(*) AS both_classes FROM windowed GROUP BY 1"""),
 }
