@@ -9,8 +9,8 @@ once per task. There are as many shards as the number of tokens asks for. Scorin
 arrays and look up the distinct n-grams of a slice of texts, shard by shard. The driver sees totals only.
 
 Files: for each shard of the words, their sorted hashes, occurrences and numbers; for each order n and shard, sorted hashes
-of contexts with their total and how many words follow once, twice and more often, and (place of the context, word) with
-counts. What is shuffled is freed as soon as a step has written its result.
+of contexts with which total they have and how many words follow once, twice and more often, and (place of the context,
+word) with counts. What is shuffled is freed as soon as a step has written its result.
 """
 
 from __future__ import annotations
@@ -122,6 +122,24 @@ def _smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
+def _write_counts(name: str, counts: np.ndarray) -> None:
+    """Counts as bytes; the few that need more room stand apart, with their places."""
+    large = np.flatnonzero(counts >= 255)
+    write_array(f"{name}-counts.npy", np.minimum(counts, _U(255)).astype(np.uint8))
+    write_array(f"{name}-places.npy", large)
+    write_array(f"{name}-large.npy", counts[large])
+
+
+def _write_kinds(name: str, columns: list[np.ndarray]) -> None:
+    """Which of the different rows each context has, and these rows: few, as most contexts are rare."""
+    order = _order(np.stack(columns))
+    opens = _opens([column[order] for column in columns])
+    which = np.empty(len(order), _U)
+    which[order] = (np.cumsum(opens) - 1).astype(_U)
+    write_array(f"{name}-kinds.npy", _smallest(which))
+    write_array(f"{name}-following.npy", np.stack([column[order][opens] for column in columns], axis=1))
+
+
 def _opens(columns: list[np.ndarray]) -> np.ndarray:
     """Where any of the columns differs from the row before."""
     opens = np.zeros(len(columns[0]), bool)
@@ -282,21 +300,21 @@ def _merging(level: int, order: int, shards: int, folder: str):
         name = f"{folder}/{level}-{shard}"
         if level == 1:
             write_array(f"{name}-keys.npy", entries[0])
-            write_array(f"{name}-counts.npy", _smallest(counts))
+            _write_counts(name, counts)
         else:
             opens = _opens(list(entries[: level - 1]))
             first = np.flatnonzero(opens)
             context = _context_of(list(entries[: level - 1, first]))
-            stats = np.stack([np.add.reduceat(x.astype(_U), first) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
             by_context = np.argsort(context)
+            stats = [np.add.reduceat(x.astype(_U), first)[by_context] for x in (counts, counts == 1, counts == 2, counts > 2)]
             write_array(f"{name}-contexts.npy", context[by_context])
-            write_array(f"{name}-following.npy", _smallest(stats[by_context]))
+            _write_kinds(name, stats)
             place = np.empty(len(first), _U)
             place[by_context] = np.arange(len(first), dtype=_U)
             keys = (place[np.cumsum(opens) - 1] << _WORD_BITS) | entries[level - 1]
             by_key = np.argsort(keys)
             write_array(f"{name}-keys.npy", keys[by_key])
-            write_array(f"{name}-counts.npy", _smallest(counts[by_key]))
+            _write_counts(name, counts[by_key])
         sums = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int(counts.sum()), int(entries[-1].sum()), entries.shape[1]]
         batches = [_batch(level, [shard], [b""], sums)]
         if level > 1:
@@ -412,7 +430,14 @@ class Tables:
                 continue
             here = order[border[k] : border[k + 1]]
             place = np.minimum(np.searchsorted(known, words[here]), len(known) - 1)
-            counts[here] = np.where(known[place] == words[here], self.array(1, k, "counts")[place], 0)
+            counts[here] = np.where(known[place] == words[here], self._counts(1, k, place), 0)
+        return counts
+
+    def _counts(self, level: int, shard: int, places: np.ndarray) -> np.ndarray:
+        counts = self.array(level, shard, "counts")[places].astype(np.int64)
+        large = np.flatnonzero(counts == 255)
+        if len(large):
+            counts[large] = self.array(level, shard, "large")[np.searchsorted(self.array(level, shard, "places"), places[large])]
         return counts
 
     def seen(self, level: int, context: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -435,7 +460,7 @@ class Tables:
             here = slice(border[k], border[k + 1])
             place = np.minimum(np.searchsorted(known, distinct[here]), len(known) - 1)
             hit = known[place] == distinct[here]
-            follow[here][hit] = self.array(level, k, "following")[place[hit]]
+            follow[here][hit] = self.array(level, k, "following")[self.array(level, k, "kinds")[place[hit]]]
             tokens = slice(ends[k], ends[k + 1])
             inside = which[tokens] - border[k]
             usable = np.flatnonzero(hit[inside])
@@ -445,7 +470,7 @@ class Tables:
             keys = self.array(level, k, "keys")
             found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             match = keys[found] == wanted
-            seen[at[match]] = self.array(level, k, "counts")[found[match]]
+            seen[at[match]] = self._counts(level, k, found[match])
         where = np.empty(len(context), np.int64)
         where[order] = which
         return follow[where], seen
