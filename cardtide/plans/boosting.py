@@ -3,9 +3,9 @@
 Each feature is cut into bins at its quantiles once, and each partition keeps its rows as blocks: a matrix of bin
 numbers, labels, weights and margins. For a level of a tree, every block adds up gradients and hessians per open node,
 feature and bin; the sums of all blocks, whose size is that of the settings and not of the data, give the splits. Leaves
-are worth -G / (H + l2). A block works out the nodes of its rows, and the margins since they were last stored, from the
-trees themselves, so a block that is lost with its executor is simply made again. Margins are stored, and lineage is cut
-by a checkpoint, every few rounds.
+are worth -G / (H + l2). A block works out the nodes of its rows from the tree itself. Its margins move on by one tree a
+round and are kept with the block; one that is lost with its executor is made again from the round before. Lineage is
+cut by a checkpoint every few rounds.
 
 Rows are drawn for each tree by a generator keyed by seed, block and round, columns by one keyed by seed and round. The
 finished trees are written in Spark's own format, so that scoring is Spark's model.
@@ -29,7 +29,7 @@ from cardtide.session import ensure_checkpoint_dir, working_folder
 
 #: Rows of one block.
 BLOCK_ROWS = 1 << 18
-#: Rounds between two stored margins. In between, the trees since the last one are applied anew.
+#: Rounds between two checkpoints of the margins. In between, a lost block is made again from the last one.
 STORE_EVERY = 8
 #: Partitions whose sums the driver adds up itself; more are added up on the executors first.
 DIRECT_PARTITIONS = 32
@@ -121,37 +121,45 @@ def blocks_of(rows: DataFrame, features: str, label: str, weight: str, edges: li
 
 def nodes_of(bins: np.ndarray, tree: Tree, depth: int) -> np.ndarray:
     """The node of each row after ``depth`` levels."""
-    node, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
+    count = bins.shape[1]
+    node, rows, flat = np.zeros(count, np.int64), np.arange(count), bins.reshape(-1)
+    # Arrays as long as a block are used again and again, as new memory costs more than what is done with it.
+    feature, cut, value = np.empty(count, np.int64), np.empty(count, np.int64), np.empty(count, np.uint8)
     for _ in range(depth):
-        feature = tree.feature[node]
-        right = bins[feature, rows] > tree.cut[node]
-        node = np.where(feature >= 0, 2 * node + 1 + right, node)
+        np.take(tree.feature, node, out=feature, mode="clip")
+        np.take(tree.cut, node, out=cut, mode="clip")
+        open_ = feature >= 0
+        feature *= count
+        feature += rows
+        # A leaf has feature -1, whose place is cut off; the value is not used.
+        np.take(flat, feature, out=value, mode="clip")
+        np.add(node * 2 + 1, value > cut, out=node, where=open_)
     return node
 
 
-def margins_of(block: Block, trees: list[Tree], depth: int) -> np.ndarray:
-    margin = block.margin
-    for tree in trees:
-        margin = margin + tree.value[nodes_of(block.bins, tree, depth)]
-    return margin
+def advanced(block: Block, tree: Tree, depth: int) -> Block:
+    """The block with its margins after one more tree."""
+    return block._replace(margin=block.margin + tree.value[nodes_of(block.bins, tree, depth)])
 
 
-def _histogram(block: Block, trees: list[Tree], tree: Tree, level: int, columns: np.ndarray, sizes: np.ndarray, round_: int, settings: Settings) -> np.ndarray:
+def _histogram(block: Block, tree: Tree, level: int, columns: np.ndarray, sizes: np.ndarray, round_: int, settings: Settings) -> np.ndarray:
     """Gradient and hessian sums: 2 x nodes of the level x bins of the drawn columns, one after the other."""
     draw = np.random.Generator(np.random.Philox(key=[settings.seed, (block.number << 24) + round_]))
     taken = draw.random(len(block.label)) < settings.row_share
     node = nodes_of(block.bins, tree, level) - ((1 << level) - 1)
     taken &= node >= 0
-    margin = margins_of(Block(block.number, block.bins[:, taken], block.label[taken], block.weight[taken], block.margin[taken]), trees, settings.depth)
-    probability = 1 / (1 + np.exp(-margin))
-    weight, node = block.weight[taken], node[taken]
-    gradient = weight * (probability - block.label[taken])
+    # Rows that are not taken add zero to the first node.
+    node = np.where(taken, node, 0)
+    probability = 1 / (1 + np.exp(-block.margin))
+    weight = np.where(taken, block.weight, 0.0)
+    gradient = weight * (probability - block.label)
     hessian = weight * np.maximum(probability * (1 - probability), 1e-16)
     width, start = 1 << level, 0
-    sums = np.empty((2, width, int(sizes[columns].sum())))
+    sums, place = np.empty((2, width, int(sizes[columns].sum()))), np.empty_like(node)
     for column in columns:
         size = int(sizes[column])
-        place = node * size + block.bins[column][taken]
+        np.multiply(node, size, out=place)
+        place += block.bins[column]
         for k, values in enumerate((gradient, hessian)):
             sums[k, :, start : start + size] = np.bincount(place, values, width * size).reshape(width, size)
         start += size
@@ -202,37 +210,34 @@ def _split_level(tree: Tree, level: int, sums: np.ndarray, columns: np.ndarray,
 
 def grow(blocks: RDD, sizes: np.ndarray, settings: Settings) -> list[Tree]:
     """All trees, one after the other, from margin 0."""
-    stored = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    stored, before = blocks.persist(StorageLevel.MEMORY_AND_DISK), None
     trees: list[Tree] = []
-    pending: list[Tree] = []
     for round_ in range(settings.rounds):
         drawn = np.random.default_rng([settings.seed, round_]).permutation(len(sizes))
         columns = np.sort(drawn[: max(1, int(settings.column_share * len(sizes)))])
         tree = Tree.empty(settings.depth)
         for level in range(settings.depth):
 
-            def partial(block: Block, tree=tree, level=level, columns=columns, round_=round_, since=list(pending)) -> np.ndarray:
-                return _histogram(block, since, tree, level, columns, sizes, round_, settings)
+            def partial(block: Block, tree=tree, level=level, columns=columns, round_=round_) -> np.ndarray:
+                return _histogram(block, tree, level, columns, sizes, round_, settings)
 
             sums = _added(stored.map(partial))
             if level == 0:
+                # This level's pass has stored the margins.
+                if before is not None:
+                    before.unpersist()
                 # All columns have the same totals; the root's are those of the first.
                 g, h = sums[:, 0, : int(sizes[columns[0]])].sum(axis=1)
                 tree.value[0], tree.cover[0] = -settings.rate * g / (h + settings.l2), h
             if not _split_level(tree, level, sums, columns, sizes, settings):
                 break
         trees.append(tree)
-        pending.append(tree)
-        if len(pending) == STORE_EVERY and round_ + 1 < settings.rounds:
-
-            def advanced(block: Block, since=list(pending)) -> Block:
-                return block._replace(margin=margins_of(block, since, settings.depth))
-
-            following = stored.map(advanced).persist(StorageLevel.MEMORY_AND_DISK)
-            following.checkpoint()
-            following.count()
-            stored.unpersist()
-            stored, pending = following, []
+        if round_ + 1 < settings.rounds:
+            # Stored by the first pass of the next round.
+            before, stored = stored, stored.map(lambda block, tree=tree: advanced(block, tree, settings.depth)).persist(StorageLevel.MEMORY_AND_DISK)
+            if len(trees) % STORE_EVERY == 0:
+                stored.checkpoint()
+                stored.count()
     stored.unpersist()
     return trees
 

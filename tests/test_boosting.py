@@ -124,3 +124,16 @@ def test_one_class_and_constant_features(spark, sample):
     model = boosting.fit(flat_rows, "features", "y", "w", SETTINGS._replace(rounds=2))
     assert model.totalNumNodes == 2
     assert model.transform(flat_rows).select("probability").distinct().count() == 1
+
+
+def test_a_pass_applies_no_earlier_tree(spark, sample, monkeypatch):
+    _, _, _, frame = sample
+    monkeypatch.setattr(boosting, "STORE_EVERY", 3)
+    seldom, edges = grown(frame, SETTINGS, 2)
+    monkeypatch.setattr(boosting, "STORE_EVERY", 1)
+    often, _ = grown(frame, SETTINGS, 2)
+    assert [nested(t, edges) for t in seldom] == [nested(t, edges) for t in often]
+    tree = seldom[0]
+    block = next(iter(boosting.blocks_of(frame, "features", "y", "w", edges).collect()))
+    moved = boosting.advanced(block, tree, SETTINGS.depth)
+    assert np.array_equal(moved.margin, tree.value[boosting.nodes_of(block.bins, tree, SETTINGS.depth)])
