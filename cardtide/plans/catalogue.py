@@ -22,7 +22,7 @@ from cardtide.operators import (
 )
 from cardtide.plans import boosting, contributions, decisions, training, whatif
 from cardtide.session import checkpointed
-from cardtide.sources.tables import events_as_card_rows, read_table, training_rows
+from cardtide.sources.tables import dealt, events_as_card_rows, read_table, training_rows
 
 SALT = "salt"
 # "Now" is a parameter everywhere; the provided events lie in January 2024.
@@ -54,6 +54,11 @@ def card_rows(spark: SparkSession, folder: str) -> DataFrame:
     return events_as_card_rows(read_table(spark, folder, "events"))
 
 
+def dealt_card_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The same card rows on all cores, for queries with long work on each row. A single file may have a single split."""
+    return events_as_card_rows(dealt(read_table(spark, folder, "events")))
+
+
 def all_events(spark: SparkSession, folder: str) -> DataFrame:
     return decisions.card_rows_to_events(card_rows(spark, folder), SALT)
 
@@ -97,7 +102,7 @@ def messages(spark: SparkSession, folder: str, keep: list[str] | None = None) ->
             for name in decisions.EVENT_FIELDS
         ]
     )
-    return all_events(spark, folder).select(
+    return decisions.card_rows_to_events(dealt_card_rows(spark, folder), SALT).select(
         F.to_json(body, {"ignoreNullFields": "false"}).cast("binary").alias("value"),
         F.lit("txns.raw").alias("topic"),
         F.lit(0).alias("partition"),
@@ -575,7 +580,7 @@ def gbt_metrics(spark, folder):
 
 
 def tree_contributions(spark, folder):
-    rows = training.labelled_training_rows(card_rows(spark, folder), SALT)
+    rows = training.labelled_training_rows(dealt_card_rows(spark, folder), SALT)
     bundle = _trained(spark.sparkContext.applicationId, folder).bundle
     explained = contributions.with_contributions(bundle.raw_scores(rows), bundle)
     return presented(
@@ -587,7 +592,7 @@ def tree_contributions(spark, folder):
 
 def model_checks(spark, folder):
     """Per window, how many rows break what must hold for every score and its contributions."""
-    rows = evaluation.with_windows(training.labelled_training_rows(card_rows(spark, folder), SALT))
+    rows = evaluation.with_windows(training.labelled_training_rows(dealt_card_rows(spark, folder), SALT))
     bundle = _trained(spark.sparkContext.applicationId, folder).bundle
     explained = bundle.calibrated(contributions.with_contributions(bundle.raw_scores(rows), bundle, total="_total"))
     probability, raw = F.col("fraud_probability"), F.col("raw_probability")

@@ -2,14 +2,15 @@
 
 Path-dependent Shapley values (Lundberg et al., arXiv:1802.03888). Within one leaf a value depends
 only on which of the features on its path a row satisfies. With at most six distinct features on a
-path there are at most 64 such patterns, so each leaf gets a table of them in advance and scoring a
-batch is a comparison and a table lookup, for all rows of the batch at once. Longer paths are worked
-out for the batch itself.
+path there are at most 64 such patterns, so each leaf gets a table of them in advance. Leaves below one
+node share most of their paths: as long as these hold few splits, the leaves' tables are added up into
+one over the outcomes of all those splits. Scoring a batch is then one comparison for each split of the
+model and a lookup for each such group, column by column. Leaves with longer paths are worked out one by one.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from math import factorial
 
 import numpy as np
@@ -21,6 +22,8 @@ from cardtide.session import ensure_checkpoint_dir
 
 #: Leaves with more features on their path are evaluated row by row of the batch, without a table.
 TABLE_FEATURES = 6
+#: Most splits on the paths of a group of leaves; its table has two to this power columns.
+GROUP_SPLITS = 8
 
 
 def tree_nodes(model, spark) -> DataFrame:
@@ -73,12 +76,60 @@ class Leaf:
     table: np.ndarray | None = None
 
 
+@dataclass
+class LeafGroup:
+    """Leaves below one node: the splits of their paths, and contributions (features x outcomes of these splits)."""
+
+    splits: list[int]
+    features: list[int] = field(default_factory=list)
+    table: np.ndarray | None = None
+
+
 @dataclass
 class LeafTables:
     """All leaves of a model and its expected margin. Bounded by rounds x 2^depth, independent of the data."""
 
     leaves: list[Leaf]
     expected: float
+    #: Feature and border of each split of the model; a row's outcome is whether it is above the border.
+    splits: list[tuple[int, float]]
+    groups: list[LeafGroup]
+    #: Leaves that are in no group.
+    alone: list[Leaf]
+
+
+def _split_of(node) -> tuple[tuple[int, float], bool]:
+    """Feature and border, and whether the left child has the values up to the border."""
+    split = node["split"]
+    if split["numCategories"] == -1:
+        return (split["featureIndex"], split["leftCategoriesOrThreshold"][0]), True
+    # One-hot columns: two categories, so a half-way threshold separates them.
+    return (split["featureIndex"], 0.5), 0.0 in split["leftCategoriesOrThreshold"]
+
+
+def _splits_below(nodes: dict) -> dict[int, set]:
+    """Splits of each node and of those below it. Children have higher numbers than their parents."""
+    below: dict[int, set] = {}
+    for number in sorted(nodes, reverse=True):
+        node = nodes[number]
+        below[number] = set()
+        if node["leftChild"] >= 0:
+            below[number] = {_split_of(node)[0]} | below[node["leftChild"]] | below[node["rightChild"]]
+    return below
+
+
+def _add_leaf(group: LeafGroup, leaf: Leaf, steps: list[tuple[int, bool]], splits: list[tuple[int, float]]) -> None:
+    """Add a leaf's table to its group's: a feature is satisfied when all its splits on the path went the path's way."""
+    outcomes = _patterns(len(group.splits))
+    pattern = np.zeros(len(outcomes), np.int64)
+    for k, feature in enumerate(leaf.features):
+        met = np.ones(len(outcomes), bool)
+        for split, above in steps:
+            if splits[split][0] == feature:
+                met &= outcomes[:, group.splits.index(split)] == above
+        pattern += met.astype(np.int64) << k
+    for k, feature in enumerate(leaf.features):
+        group.table[group.features.index(feature)] += leaf.table[pattern, k]
 
 
 def leaf_tables(model, spark) -> LeafTables:
@@ -87,13 +138,18 @@ def leaf_tables(model, spark) -> LeafTables:
     # Nodes of a model, not rows of a table.
     for row in tree_nodes(model, spark).collect():
         trees.setdefault(row["treeID"], {})[row["id"]] = row
-    leaves, expected = [], 0.0
+    leaves, expected, numbers = [], 0.0, {}
+    grouped: list[tuple[LeafGroup | None, Leaf, list]] = []
     for nodes in trees.values():
-        root = nodes[0]["impurityStats"][0]
-        stack = [(0, {})]
+        root, below = nodes[0]["impurityStats"][0], _splits_below(nodes)
+        stack = [(0, {}, [], None)]
         while stack:
-            identifier, path = stack.pop()
+            identifier, path, steps, group = stack.pop()
             node = nodes[identifier]
+            if group is None:
+                wanted = {numbers.setdefault(split, len(numbers)) for split in below[identifier]} | {split for split, _ in steps}
+                if len(wanted) <= GROUP_SPLITS:
+                    group = LeafGroup(sorted(wanted))
             if node["leftChild"] < 0:
                 # Raw margins are half log-odds.
                 value = 2 * node["weight"] * node["prediction"]
@@ -101,36 +157,44 @@ def leaf_tables(model, spark) -> LeafTables:
                 names = sorted(path)
                 bounds = np.array([path[name] for name in names]).reshape(-1, 3)
                 leaves.append(Leaf(names, bounds[:, 0], bounds[:, 1], bounds[:, 2], value))
+                grouped.append((group, leaves[-1], steps))
                 continue
-            split = node["split"]
-            feature, values = split["featureIndex"], split["leftCategoriesOrThreshold"]
+            (feature, edge), left_is_low = _split_of(node)
             low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-            if split["numCategories"] == -1:
-                edge, left_is_low = values[0], True
-            else:
-                # One-hot columns: two categories, so a half-way threshold separates them.
-                edge, left_is_low = 0.5, 0.0 in values
             cover = node["impurityStats"][0]
             for child, is_left in ((node["leftChild"], True), (node["rightChild"], False)):
-                interval = (low, min(high, edge)) if is_left == left_is_low else (max(low, edge), high)
+                above = is_left != left_is_low
+                interval = (max(low, edge), high) if above else (low, min(high, edge))
                 portion = nodes[child]["impurityStats"][0] / cover
-                stack.append((child, {**path, feature: (*interval, share * portion)}))
+                step = (numbers.setdefault((feature, edge), len(numbers)), above)
+                stack.append((child, {**path, feature: (*interval, share * portion)}, [*steps, step], group))
     by_size: dict[int, list[Leaf]] = {}
     for leaf in leaves:
         by_size.setdefault(len(leaf.features), []).append(leaf)
-    for size, group in by_size.items():
-        if 0 < size <= TABLE_FEATURES:
-            shares = np.array([leaf.shares for leaf in group])[:, None, :]
+    for size, same in by_size.items():
+        if 0 < size <= max(TABLE_FEATURES, GROUP_SPLITS):
+            shares = np.array([leaf.shares for leaf in same])[:, None, :]
             tables = path_values(_patterns(size)[None, :, :], shares)
-            for leaf, table in zip(group, tables):
+            for leaf, table in zip(same, tables):
                 leaf.table = leaf.value * table
-    return LeafTables(leaves, expected)
-
-
-def contribution_values(matrix: np.ndarray, tables: LeafTables) -> np.ndarray:
-    """Rows x features; every feature column is compared as a whole batch."""
+    splits, groups, alone = list(numbers), {}, []
+    for group, leaf, steps in grouped:
+        if group is None:
+            alone.append(leaf)
+        elif leaf.features:
+            groups.setdefault(id(group), (group, []))[1].append((leaf, steps))
+    for group, members in groups.values():
+        group.features = sorted({feature for leaf, _ in members for feature in leaf.features})
+        group.table = np.zeros((len(group.features), 1 << len(group.splits)))
+        for leaf, steps in members:
+            _add_leaf(group, leaf, steps, splits)
+    return LeafTables(leaves, expected, splits, [group for group, _ in groups.values()], alone)
+
+
+def leaf_values(matrix: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
+    """Rows x features, leaf by leaf."""
     result = np.zeros_like(matrix)
-    for leaf in tables.leaves:
+    for leaf in leaves:
         if not leaf.features:
             continue
         columns = matrix[:, leaf.features]
@@ -142,11 +206,28 @@ def contribution_values(matrix: np.ndarray, tables: LeafTables) -> np.ndarray:
     return result
 
 
+def contribution_values(matrix: np.ndarray, tables: LeafTables) -> np.ndarray:
+    """Rows x features; every split is compared, and every group looked up, for the whole batch."""
+    columns = np.ascontiguousarray(matrix.T)
+    above = [(columns[feature] > edge).astype(np.int16) for feature, edge in tables.splits]
+    result, found = np.zeros_like(columns), np.empty(len(matrix))
+    for group in tables.groups:
+        outcome = np.zeros(len(matrix), np.int16)
+        for k, split in enumerate(group.splits):
+            outcome += above[split] << k
+        place = outcome.astype(np.intp)
+        for feature, amounts in zip(group.features, group.table):
+            result[feature] += np.take(amounts, place, out=found, mode="clip")
+    return result.T + leaf_values(matrix, tables.alone)
+
+
 def shared_tables(bundle, spark):
     """The broadcast tables of a bundle: built at first use, then the same for every batch."""
     application = spark.sparkContext.applicationId
     if bundle.tables is None or bundle.tables[0] != application:
-        bundle.tables = (application, spark.sparkContext.broadcast(leaf_tables(bundle.pipeline.stages[-1], spark)))
+        # Leaves that are in a group are not looked at any more.
+        tables = replace(leaf_tables(bundle.pipeline.stages[-1], spark), leaves=[])
+        bundle.tables = (application, spark.sparkContext.broadcast(tables))
     return bundle.tables[1]
 
 

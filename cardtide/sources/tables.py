@@ -13,6 +13,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Tasks for each core over which ``dealt`` spreads rows.
+TASKS_PER_CORE = 2
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly to tasks however few splits the scan has: for steps that cost far more than moving a row.
+
+    The number is that of the cores, since few bytes may be much work.
+    """
+    return rows.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism, F.monotonically_increasing_id())
+
+
 def events_as_card_rows(events: DataFrame) -> DataFrame:
     """View the provided event table as raw card rows, one for one."""
     user, event = F.col("user_id"), F.col("event_id")

@@ -41,3 +41,11 @@ def test_capped_training_scan(spark, folder):
     assert "merchant" not in rows.columns and rows.count() == 100
     frame = training.labelled_training_rows(rows, "salt")
     assert 0 < frame.count() <= 100 and "customer_id" not in frame.columns
+
+
+def test_rows_of_one_split_are_dealt_to_all_cores(spark):
+    rows = spark.range(1000).coalesce(1)
+    dealt = tables.dealt(rows)
+    sizes = [len(part) for part in dealt.rdd.glom().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 1000 / spark.sparkContext.defaultParallelism
+    assert dealt.exceptAll(rows).count() == 0 and dealt.count() == 1000

@@ -147,3 +147,24 @@ def test_failed_explanations_become_a_metric(spark):
     )
     metric = contributions.explanation_failures(rows, F.lit("2024-01-01 00:00:00")).collect()
     assert len(metric) == 1 and metric[0]["metric_value"] == 1.0
+
+
+def test_leaves_are_looked_up_in_groups(spark, result, rows):
+    booster = result.bundle.pipeline.stages[-1]
+    tables = contributions.leaf_tables(booster, spark)
+    sample = result.bundle.pipeline.transform(rows.limit(300)).select(vector_to_array("features").alias("v")).collect()
+    matrix = np.array([row["v"] for row in sample])
+    expected = contributions.leaf_values(matrix, tables.leaves)
+    assert np.allclose(contributions.contribution_values(matrix, tables), expected, atol=1e-10) and np.abs(expected).max() > 0
+    assert not tables.alone and len(tables.groups) * 2 <= len(tables.leaves)
+    assert all(group.table.shape[1] <= 1 << contributions.GROUP_SPLITS for group in tables.groups)
+
+
+def test_leaves_with_too_many_splits_are_worked_out_alone(spark, result, rows, monkeypatch):
+    booster = result.bundle.pipeline.stages[-1]
+    whole = contributions.leaf_tables(booster, spark)
+    monkeypatch.setattr(contributions, "GROUP_SPLITS", 1)
+    tables = contributions.leaf_tables(booster, spark)
+    matrix = np.array([row["v"] for row in result.bundle.pipeline.transform(rows.limit(50)).select(vector_to_array("features").alias("v")).collect()])
+    assert tables.alone
+    assert np.allclose(contributions.contribution_values(matrix, tables), contributions.contribution_values(matrix, whole), atol=1e-10)
