@@ -158,3 +158,17 @@ def test_score_contract_stops_a_batch(spark, folder):
     assert decisions.score_contract_breaks(wrong).count() > 0
     with pytest.raises(Exception, match="invalid score"):
         decisions.enforce_score_contract(wrong).select("fraud_probability").collect()
+
+
+def test_state_follows_the_cores_and_the_settings_come_back(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        stream.write_replay(catalogue.all_events(spark, "/root/testdata/sf0.001"), str(tmp_path / "in"), 1, limit=20)
+        query = stream.start(stream.message_files(spark, str(tmp_path / "in")), stream.DecisionSinks(str(tmp_path / "out")), str(tmp_path / "checkpoint"))
+        query.awaitTermination(300)
+        assert query.exception() is None and spark.conf.get("spark.sql.shuffle.partitions") == "200"
+        stores = [entry for entry in (tmp_path / "checkpoint" / "state" / "0").iterdir() if entry.name.isdigit()]
+        assert 0 < len(stores) <= stream.STATE_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
