@@ -212,30 +212,30 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
     A typed read comes first and is all that a message of the contract's plain form needs. Only the others are read field
     by field. ``payload_state`` is ``object``, ``scalar`` (JSON but no object), ``invalid`` (not JSON), ``undecodable``
-    or ``null``. The two readings scan the messages once each.
+    or ``null``. Both readings are made in one pass, in which the second sees no text where the first is enough.
     """
     tiers = _plain_reading(messages)
-    plain = tiers.filter("_plain").select(
-        *messages.columns,
-        F.lit("object").alias("payload_state"),
-        *EVENT_FIELDS,
-        F.array().cast(ISSUES_TYPE).alias("issues"),
-        F.lit(True).alias("accepted"),
-        F.lit(None).cast("variant").alias("_doc"),
-    )
-    return plain.unionByName(_full_reading(tiers.filter("NOT _plain").select(*messages.columns)))
+    given = F.struct(*EVENT_FIELDS).alias("_given")
+    return _field_reading(tiers.select(*messages.columns, F.expr("if(_plain, NULL, _text)").alias("_text"), "_plain", given))
 
 
 def _full_reading(messages: DataFrame) -> DataFrame:
-    """The document is parsed once into a VARIANT and each field is read on its own, so that one bad
-    field yields its own issue instead of an empty record."""
+    """All messages field by field, without the typed read."""
     decoded = computed_once(
         messages, {"_text": "if(is_valid_utf8(CAST(value AS STRING)), CAST(value AS STRING), NULL)"}
     )
-    document = computed_once(decoded, {"_doc": "try_parse_json(_text)"})
+    nothing = F.lit(None).cast(EVENT_SCHEMA).alias("_given")
+    return _field_reading(decoded.select("*", F.lit(False).alias("_plain"), nothing))
+
+
+def _field_reading(tiers: DataFrame) -> DataFrame:
+    """The document is parsed once into a VARIANT and each field is read on its own, so that one bad
+    field yields its own issue instead of an empty record. Plain rows keep their ``_given`` fields."""
+    columns = [name for name in tiers.columns if name not in ("_text", "_plain", "_given")]
+    document = computed_once(tiers, {"_doc": "try_parse_json(_text)"})
     fields = {
         "payload_state": (
-            "CASE WHEN value IS NULL THEN 'null' WHEN _text IS NULL THEN 'undecodable' "
+            "CASE WHEN _plain THEN 'object' WHEN value IS NULL THEN 'null' WHEN _text IS NULL THEN 'undecodable' "
             "WHEN _doc IS NULL THEN 'invalid' WHEN schema_of_variant(_doc) LIKE 'OBJECT%' THEN 'object' "
             "ELSE 'scalar' END"
         )
@@ -246,7 +246,7 @@ def _full_reading(messages: DataFrame) -> DataFrame:
     values, kinds = {}, {}
     for field in EVENT_SCHEMA:
         value, wrong = _read_field(field.name, field.dataType)
-        values[field.name] = f"CAST({value} AS {field.dataType.simpleString()})"
+        values[field.name] = f"if(_plain, _given.{field.name}, CAST({value} AS {field.dataType.simpleString()}))"
         absent = "" if field.name in OPTIONAL_FIELDS else f"WHEN _s_{field.name} IS NULL THEN 'missing' "
         kinds[f"_w_{field.name}"] = f"CASE {absent}ELSE {wrong} END" if absent else wrong
     read = computed_once(computed_once(computed_once(document, fields), values), kinds)
@@ -272,7 +272,7 @@ def _full_reading(messages: DataFrame) -> DataFrame:
     present = " + ".join(f"int(_s_{name} IS NOT NULL)" for name in EVENT_FIELDS)
     fine.append(f"size(json_object_keys(_text)) = {present}")
     issues = (
-        f"CASE WHEN payload_state = 'object' AND {' AND '.join(fine)} THEN CAST(array() AS {ISSUES_TYPE}) "
+        f"CASE WHEN _plain OR (payload_state = 'object' AND {' AND '.join(fine)}) THEN CAST(array() AS {ISSUES_TYPE}) "
         f"WHEN payload_state = 'object' "
         f"THEN concat(CAST(array_compact(array({found})) AS {ISSUES_TYPE}), CAST({extra} AS {ISSUES_TYPE})) "
         f"WHEN payload_state = 'scalar' THEN CAST(array(named_struct('type', 'model_type', 'location', array())) AS {ISSUES_TYPE}) "
@@ -281,7 +281,7 @@ def _full_reading(messages: DataFrame) -> DataFrame:
     checked = computed_once(read, {"issues": issues}).withColumn(
         "accepted", F.expr("payload_state = 'object' AND size(issues) = 0")
     )
-    return checked.select(*messages.columns, "payload_state", *EVENT_FIELDS, "issues", "accepted", "_doc")
+    return checked.select(*columns, "payload_state", *EVENT_FIELDS, "issues", "accepted", "_doc")
 
 
 def accepted_events(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -71,3 +71,9 @@ def test_dead_letters_read_only_what_failed(spark):
     rows = spark.createDataFrame([(bytearray(t.encode()), "t", 0, k) for k, t in enumerate([message(), message(amount=0), "{broken"])], "value binary, topic string, partition int, offset bigint")
     letters = contract.dead_letters(contract.parse_messages(rows), F.lit("2024-01-01"))
     assert {r["offset"]: r["error_type"] for r in letters.collect()} == {1: "ValidationError", 2: "JSONDecodeError"}
+
+
+def test_messages_are_scanned_once(spark, tmp_path):
+    spark.createDataFrame([(bytearray(message().encode()), 0)], "value binary, offset bigint").write.parquet(str(tmp_path / "in"))
+    plan = contract.parse_messages(spark.read.parquet(str(tmp_path / "in")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
