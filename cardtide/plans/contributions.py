@@ -120,14 +120,16 @@ def _splits_below(nodes: dict) -> dict[int, set]:
 
 def _add_leaf(group: LeafGroup, leaf: Leaf, steps: list[tuple[int, bool]], splits: list[tuple[int, float]]) -> None:
     """Add a leaf's table to its group's: a feature is satisfied when all its splits on the path went the path's way."""
-    outcomes = _patterns(len(group.splits))
+    outcomes = np.arange(1 << len(group.splits))
     pattern = np.zeros(len(outcomes), np.int64)
     for k, feature in enumerate(leaf.features):
-        met = np.ones(len(outcomes), bool)
+        # Bits of the feature's splits, and those of them that must be set. A path never asks for both sides of a split.
+        asked = wanted = 0
         for split, above in steps:
             if splits[split][0] == feature:
-                met &= outcomes[:, group.splits.index(split)] == above
-        pattern += met.astype(np.int64) << k
+                bit = 1 << group.splits.index(split)
+                asked, wanted = asked | bit, wanted | bit * above
+        pattern += ((outcomes & asked) == wanted).astype(np.int64) << k
     for k, feature in enumerate(leaf.features):
         group.table[group.features.index(feature)] += leaf.table[pattern, k]
 
@@ -231,12 +233,28 @@ def shared_tables(bundle, spark):
     return bundle.tables[1]
 
 
-def with_contributions(raw: DataFrame, bundle, limit: int = 6, total: str | None = None) -> DataFrame:
+def _explained(vectors: list, tables: LeafTables, tolerant: bool) -> tuple[list, list]:
+    """Contributions and totals of each row. If ``tolerant``, a batch that fails is halved until only the failing rows get none."""
+    try:
+        values = contribution_values(np.stack(vectors).astype(float), tables)
+        return list(values), list(values.sum(axis=1) + tables.expected)
+    except Exception:  # noqa: BLE001 - an explanation never blocks a score of the stream
+        if not tolerant:
+            raise
+        if len(vectors) == 1:
+            return [None], [None]
+        middle = len(vectors) // 2
+        halves = [_explained(part, tables, tolerant) for part in (vectors[:middle], vectors[middle:])]
+        return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
+
+
+def with_contributions(raw: DataFrame, bundle, limit: int = 6, total: str | None = None, tolerant: bool = False) -> DataFrame:
     """Add ``explanation``: the strongest contributions of each row.
 
-    Only the feature array crosses to Python, in Arrow batches. A batch that cannot be explained
-    gets an empty list and does not stop scoring; ``explanation_failures`` counts its rows. With
-    ``total``, also add a column of that name: all contributions of the row plus the expected margin.
+    Only the feature array crosses to Python, in Arrow batches. A row that cannot be explained is an error. If
+    ``tolerant``, it gets an empty list and does not stop scoring; who asks for that counts such rows, as the decision
+    stream and ``explanation_failures`` do. With ``total``, also add a column of that name: all contributions of the row
+    plus the expected margin.
     """
     tables = shared_tables(bundle, raw.sparkSession)
 
@@ -244,11 +262,10 @@ def with_contributions(raw: DataFrame, bundle, limit: int = 6, total: str | None
     def contributions(features):  # type: ignore[no-untyped-def]
         import pandas as pd
 
-        try:
-            values = contribution_values(np.stack(features.to_numpy()).astype(float), tables.value)
-            return pd.DataFrame({"amounts": list(values), "total": values.sum(axis=1) + tables.value.expected})
-        except Exception:  # noqa: BLE001 - an explanation never blocks a score
-            return pd.DataFrame({"amounts": [None] * len(features), "total": [None] * len(features)})
+        if not len(features):
+            return pd.DataFrame({"amounts": [], "total": []})
+        amounts, totals = _explained(list(features), tables.value, tolerant)
+        return pd.DataFrame({"amounts": amounts, "total": totals})
 
     names = F.array(*[F.lit(name) for name in bundle.feature_names])
     zipped = F.zip_with(
