@@ -606,7 +606,8 @@ def as_spark_model(spark: SparkSession, trees: list[Tree], edges: list[np.ndarra
     listed = spark.createDataFrame([(k, tree_form, 1.0) for k in range(len(trees))], form.schema).toDF(*names)
     listed.coalesce(1).write.parquet(f"{folder}/model/treesMetadata")
     nodes = [row for k, tree in enumerate(trees) for row in _node_rows(k, tree, edges)]
-    spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1).write.parquet(f"{folder}/model/data")
+    # Types are right by making; checking tens of thousands of nested rows takes seconds.
+    spark.createDataFrame(nodes, NODE_SCHEMA, verifySchema=False).coalesce(1).write.parquet(f"{folder}/model/data")
     return GBTClassificationModel.load(f"{folder}/model")
 
 

@@ -40,6 +40,16 @@ def tree_nodes(model, spark) -> DataFrame:
     )
 
 
+def collected_nodes(model, spark) -> dict[int, dict]:
+    """Nodes by tree and number. They are those of a model, not rows of a table, and are read once for each model object."""
+    if getattr(model, "_collected_nodes", None) is None:
+        trees: dict[int, dict] = {}
+        for row in tree_nodes(model, spark).collect():
+            trees.setdefault(row["treeID"], {})[row["id"]] = row
+        model._collected_nodes = dict(sorted(trees.items()))
+    return model._collected_nodes
+
+
 def path_values(met: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Shapley values of a leaf of value 1: last axis is the path's features, ``met`` is 1 where satisfied.
 
@@ -98,7 +108,7 @@ class LeafTables:
     alone: list[Leaf]
 
 
-def _split_of(node) -> tuple[tuple[int, float], bool]:
+def split_of(node) -> tuple[tuple[int, float], bool]:
     """Feature and border, and whether the left child has the values up to the border."""
     split = node["split"]
     if split["numCategories"] == -1:
@@ -114,7 +124,7 @@ def _splits_below(nodes: dict) -> dict[int, set]:
         node = nodes[number]
         below[number] = set()
         if node["leftChild"] >= 0:
-            below[number] = {_split_of(node)[0]} | below[node["leftChild"]] | below[node["rightChild"]]
+            below[number] = {split_of(node)[0]} | below[node["leftChild"]] | below[node["rightChild"]]
     return below
 
 
@@ -136,10 +146,7 @@ def _add_leaf(group: LeafGroup, leaf: Leaf, steps: list[tuple[int, bool]], split
 
 def leaf_tables(model, spark) -> LeafTables:
     """Read the trees once, and fill the tables of all leaves with equally long paths together."""
-    trees: dict[int, dict] = {}
-    # Nodes of a model, not rows of a table.
-    for row in tree_nodes(model, spark).collect():
-        trees.setdefault(row["treeID"], {})[row["id"]] = row
+    trees = collected_nodes(model, spark)
     leaves, expected, numbers = [], 0.0, {}
     grouped: list[tuple[LeafGroup | None, Leaf, list]] = []
     for nodes in trees.values():
@@ -161,7 +168,7 @@ def leaf_tables(model, spark) -> LeafTables:
                 leaves.append(Leaf(names, bounds[:, 0], bounds[:, 1], bounds[:, 2], value))
                 grouped.append((group, leaves[-1], steps))
                 continue
-            (feature, edge), left_is_low = _split_of(node)
+            (feature, edge), left_is_low = split_of(node)
             low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
             cover = node["impurityStats"][0]
             for child, is_left in ((node["leftChild"], True), (node["rightChild"], False)):

@@ -8,14 +8,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardtide.fixed_values import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
 from cardtide.functions.scoring import clamp
 from cardtide.operators import evaluation, isotonic, thresholds
-from cardtide.plans import boosting, decisions
+from cardtide.plans import boosting, decisions, margins
 from cardtide.session import checkpointed, ensure_checkpoint_dir
 
 # Boosting settings. Columns are drawn per tree; a child has at least this much hessian.
@@ -54,13 +53,14 @@ class ModelBundle:
     model_features: list[str] = field(default_factory=lambda: list(FEATURES))
     #: Broadcast contribution tables, beside the application that holds them; see ``contributions.shared_tables``.
     tables: tuple | None = field(default=None, repr=False, compare=False)
+    #: Broadcast trees in the same way; see ``margins.shared_trees``.
+    walked: tuple | None = field(default=None, repr=False, compare=False)
 
     def raw_scores(self, featured: DataFrame) -> DataFrame:
         """Uncalibrated probability, beside the transformed feature vector."""
-        raw = self.pipeline.transform(featured).withColumn(
-            "raw_probability", F.get(vector_to_array("probability"), F.lit(1))
-        )
-        return raw.drop("rawPrediction", "probability", "prediction", "_numbers", "_scaled", *_index_columns(), *_onehot_columns())
+        vectors = PipelineModel(stages=self.pipeline.stages[:-1]).transform(featured)
+        raw = vectors.withColumn("raw_probability", margins.raw_probability(self, featured.sparkSession))
+        return raw.drop("_numbers", "_scaled", *_index_columns(), *_onehot_columns())
 
     def calibrated(self, raw: DataFrame) -> DataFrame:
         score = raw.withColumn("score", F.col("raw_probability"))
